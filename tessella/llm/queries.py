@@ -8,15 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._shared import table
 from .sharding import assign_shards
+from .token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op2_token_counts": op2_token_counts,
     "op8_sharding": op8_sharding,
 }
 

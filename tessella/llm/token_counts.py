@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from ._text import slices, text_bytes
 
 CHUNK = 256
-STATE_LIMIT = 1 << 15
+TABLE_CELLS = 1 << 24
 CACHE_LIMIT = 400_000
 END = 256  # symbol after a pre-token's last byte
 
@@ -166,8 +166,22 @@ class Counter:
     def reset(self) -> None:
         start = ((b"", None, 0),)
         self.numbers, self.held = {start: 1}, [None, start]
-        self.next = np.zeros((STATE_LIMIT, 257), np.int32)
-        self.change = np.zeros((STATE_LIMIT, 257), np.int16)
+        self.width = 64  # columns; a symbol gets one when it first occurs
+        self.column = np.full(257, -1, np.int64)
+        self.symbols: list[int] = []
+        self.next = np.zeros(TABLE_CELLS, np.int32)
+        self.change = np.zeros(TABLE_CELLS, np.int16)
+
+    def columns(self, symbols: np.ndarray) -> None:
+        """Give columns to new symbols; a table that needs wider rows starts anew."""
+        for symbol in np.flatnonzero(np.bincount(symbols, minlength=257) * (self.column < 0)).tolist():
+            if len(self.symbols) == self.width:
+                width = min(257, 2 * self.width)
+                self.reset()
+                self.width = width
+                return self.columns(symbols)
+            self.column[symbol] = len(self.symbols)
+            self.symbols.append(symbol)
 
     def merged(self, symbols: list) -> list:
         """Merge by rank, leftmost first."""
@@ -210,7 +224,7 @@ class Counter:
     def number(self, held: tuple) -> int:
         k = self.numbers.get(held)
         if k is None:
-            if len(self.held) >= STATE_LIMIT:
+            if len(self.held) >= TABLE_CELLS // self.width:
                 raise OverflowError
             k = self.numbers[held] = len(self.held)
             self.held.append(held)
@@ -229,6 +243,8 @@ class Counter:
         order = np.argsort(-size, kind="stable")
         size = size[order]
         data = np.frombuffer(b"".join(words[k] for k in order.tolist()), np.uint8)
+        self.columns(np.append(data, END))
+        width = self.width
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
         state = np.ones(len(words), np.int32)
         total = np.zeros(len(words), np.int64)
@@ -237,15 +253,15 @@ class Counter:
             going = int(np.searchsorted(-size, -p, "left"))  # words of more than p bytes
             symbol = np.full(live, END, np.int64)
             symbol[:going] = data[begin[:going] + p]
-            at = state[:live].astype(np.int64) * 257 + symbol
-            then = self.next.reshape(-1)[at]
+            at = state[:live].astype(np.int64) * width + self.column[symbol]
+            then = self.next[at]
             if not then.all():
                 for key in np.unique(at[then == 0]).tolist():
-                    held, change = self.advance(self.held[key // 257], key % 257)
-                    self.change.reshape(-1)[key] = change
-                    self.next.reshape(-1)[key] = 1 if held is None else self.number(held)
-                then = self.next.reshape(-1)[at]
-            total[:live] += self.change.reshape(-1)[at]
+                    held, change = self.advance(self.held[key // width], self.symbols[key % width])
+                    self.change[key] = change
+                    self.next[key] = 1 if held is None else self.number(held)
+                then = self.next[at]
+            total[:live] += self.change[at]
             state[:live] = then
         result = np.empty(len(words), np.int64)
         result[order] = total
