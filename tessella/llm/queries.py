@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._shared import table
 from .language_id import language_query
+from .quality import quality_query
 from .sharding import assign_shards
 from .token_counts import token_counts
 
@@ -20,6 +21,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
+    "op3_quality": op3_quality,
     "op8_sharding": op8_sharding,
     "op9_language_id": op9_language_id,
 }
