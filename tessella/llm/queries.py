@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._shared import table
 from .language_id import language_query
+from .packing import pack_documents
 from .quality import quality_query
 from .secrets import secrets_query
 from .sharding import assign_shards
@@ -26,6 +27,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_query(table(spark, sf_dir, "documents"))
 
@@ -41,6 +46,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality": op3_quality,
+    "op6_packing": op6_packing,
     "op7_secrets": op7_secrets,
     "op8_sharding": op8_sharding,
     "op9_language_id": op9_language_id,
