@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._shared import table
 from .decontaminate import leaked_items
+from .fingerprints import fingerprint_edits
 from .language_id import language_query
 from .packing import pack_documents
 from .quality import quality_query
@@ -32,6 +33,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
     "op3_quality": op3_quality,
+    "op4_fingerprints": op4_fingerprints,
     "op6_packing": op6_packing,
     "op7_secrets": op7_secrets,
     "op8_sharding": op8_sharding,
