@@ -1,8 +1,8 @@
 """Document fingerprints from spot signatures.
 
-A signature is an anchor, that is a common word, and the chain of the next CHAIN content words. To cover texts with
-few common words (tables, lists), one content word in 16, chosen by its hash, is an anchor too. A fingerprint is
-the sorted set of a document's 32-bit signatures, written in hexadecimal; fingerprints are compared by Jaccard.
+A signature is an anchor, that is a common word, and the chain of the next CHAIN content words. To cover stretches
+without common words (tables, lists), a word with none among the GAP words before it is an anchor too; this rule is
+local, so an edit changes signatures only near it. A fingerprint is the sorted set of a document's 32-bit signatures, written in hexadecimal; fingerprints are compared by Jaccard.
 Words are lower-cased runs of letters, digits and bytes beyond ASCII.
 """
 
@@ -22,7 +22,7 @@ from ._shared import shuffle_partitions
 from ._text import LOWER, find_words, mix, text_bytes
 
 CHAIN = 2
-ANCHOR_GRAIN = 16
+GAP = 6
 BLOCK_CHARS = 1 << 20
 #: Common words of English, French, German and Spanish.
 COMMON = (
@@ -51,8 +51,7 @@ _SIEVE[_COMMON_HASHES >> np.uint64(48)] = True
 def signature_sets(texts: list[bytes]) -> np.ndarray:
     """Sorted distinct numbers (text << 32 | signature) of all texts.
 
-    A text without anchors, or with anchors but no content word, has every word as an anchor; a text without words
-    has no signature.
+    Chains end with their text; a text without words has no signature.
     """
     h, first = _word_hashes(texts)
     if not len(h):
@@ -63,12 +62,9 @@ def signature_sets(texts: list[bytes]) -> np.ndarray:
     near = np.minimum(np.searchsorted(_COMMON_HASHES, h[at]), len(_COMMON_HASHES) - 1)
     common[at] = _COMMON_HASHES[near] == h[at]
     content = ~common
-    anchor = common | (h % np.uint64(ANCHOR_GRAIN) == 0)
-    bare = np.bincount(doc[anchor], minlength=len(texts)) == 0
-    bare |= np.bincount(doc[content], minlength=len(texts)) == 0
-    if bare.any():
-        anchor |= bare[doc]
-        content |= bare[doc]
+    word = np.arange(len(h))
+    last_common = np.maximum.accumulate(np.where(common, word, -1))
+    anchor = common | (word - last_common > GAP) | (last_common < first[doc])
     spots = np.flatnonzero(anchor)
     places = np.flatnonzero(content)
     until = np.cumsum(content)  # content words up to and with each word
