@@ -14,6 +14,7 @@ from .packing import pack_documents
 from .quality import quality_query
 from .secrets import secrets_query
 from .sharding import assign_shards
+from .substring_dedup import remove_repeats
 from .token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality": op3_quality,
     "op4_fingerprints": op4_fingerprints,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_packing": op6_packing,
     "op7_secrets": op7_secrets,
     "op8_sharding": op8_sharding,
