@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._shared import table
 from .decontaminate import leaked_items
 from .fingerprints import fingerprint_edits
+from .jaccard_join import jaccard_components
 from .language_id import language_query
 from .packing import pack_documents
 from .quality import quality_query
@@ -58,6 +59,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_query(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op7_secrets": op7_secrets,
     "op8_sharding": op8_sharding,
     "op9_language_id": op9_language_id,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
