@@ -58,7 +58,7 @@ def set_ids(sets: list[np.ndarray]) -> np.ndarray:
     if not sets:
         return np.zeros(0, np.int64)
     n = np.fromiter(map(len, sets), np.int64, len(sets))
-    sums = np.concatenate([[0], np.cumsum(mix(np.concatenate(sets)), dtype=np.uint64)]).astype(np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(np.concatenate(sets)), dtype=np.uint64)])
     ends = np.cumsum(n)
     return mix(sums[ends] - sums[ends - n] + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
