@@ -139,6 +139,33 @@ def fit_languages(docs: DataFrame, per_language: int = 600, sample_rows: int = 4
     return LanguageModel(languages, idf, np.concatenate(centres).astype(np.float32), np.array(owner), float(np.quantile(near, reject_share)) / 4 if len(near) else 0.0)
 
 
+def _judged(column: pa.Array, model: LanguageModel) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of rows: language numbers (one beyond the last for no letter), scores and rejections."""
+    data, offsets = text_bytes(column)
+    for i, j in slices(offsets, 1 << 20):
+        for k in range(i, j, 1000):  # rows of a slice may be many and empty
+            m = min(j, k + 1000)
+            part, own = data[offsets[k] : offsets[m]], offsets[k : m + 1] - offsets[k]
+            language, score = model.predict(part, own)
+            sums = np.concatenate([[0], np.cumsum(_ASCII_LETTER[part])])
+            letters = np.diff(sums[own]) > 0
+            for x in np.flatnonzero(~letters & (np.diff(own) > 0)).tolist():
+                letters[x] = any(map(str.isalpha, bytes(part[own[x] : own[x + 1]]).decode("utf-8", "replace")))
+            rejected = ~letters | ((score < model.least) & (np.diff(own) >= 24))
+            yield k, m, np.where(letters, language, len(model.languages)), np.where(letters, score, 0.0), rejected
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of docs, with all columns, that identify_languages does not reject."""
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rejected = np.concatenate([np.zeros(0, bool), *(r for *_, r in _judged(batch["text"], model))])
+            yield batch.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score (cosine with the nearest centroid) and rejected, of each document.
 
@@ -151,17 +178,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, UNKNOWN], dtype=object)
         for batch in batches:
-            data, offsets = text_bytes(batch["text"])
-            for i, j in slices(offsets, 1 << 20):
-                part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                language, score = model.predict(part, own)
-                sums = np.concatenate([[0], np.cumsum(_ASCII_LETTER[part])])
-                letters = np.diff(sums[own]) > 0
-                for k in np.flatnonzero(~letters & (np.diff(own) > 0)).tolist():
-                    letters[k] = any(map(str.isalpha, bytes(part[own[k] : own[k + 1]]).decode("utf-8", "replace")))
-                language = np.where(letters, language, len(model.languages))
-                score = np.where(letters, score, 0.0)
-                rejected = ~letters | ((score < model.least) & (np.diff(own) >= 24))
+            for i, j, language, score, rejected in _judged(batch["text"], model):
                 yield pa.record_batch([batch["doc_id"][i:j].cast(pa.int64()), pa.array(names[language], pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select("doc_id", "text").mapInArrow(judge, "doc_id long, lang_pred string, score double, rejected boolean")
