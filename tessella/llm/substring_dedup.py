@@ -9,7 +9,8 @@ with one minimizer are segments, and equal windows always lie in segments of the
 told apart by a hash of their content: of equal ones, all but those of the smallest doc_id go as a whole. A
 minimizer with several contents is a reference shard: a suffix automaton of its contents carries the smallest
 doc_id of every substring, and each content is streamed through it for the matching statistics of its windows.
-Shards beyond a fixed size are settled exactly by grouping the windows' 128-bit hashes instead.
+The contents of one minimizer are split into shards of bounded size; the windows that a shard leaves, less those that
+a sketch of fixed size shows to be in no other, are then compared between shards by 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -21,16 +22,18 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._blobs import blocks, packed_texts, unpacked
-from ._shared import materialize
+from ._shared import materialize, shuffle_partitions
 from ._text import _power_tables, find_words, gram_hashes, mix, slices, text_bytes
 
 GRAM = 8
-SHARD_CONTENTS = 200
-SHARD_WORDS = 60_000
+SHARD_CONTENTS = 100
+SHARD_WORDS = 30_000
+SKETCH_BITS = 22
 
 
 @dataclass
@@ -155,7 +158,7 @@ class Automaton:
 
 
 def taken_windows(shard: list[tuple[int, list[int]]], width: int) -> list[list[int]]:
-    """Of each (owner, sequence) of a shard, the windows that a smaller owner has too."""
+    """Of each (owner, sequence) of a shard, the starts of the windows that a smaller owner has too."""
     machine = Automaton()
     for owner, sequence in shard:
         machine.add(sequence, owner)
@@ -181,37 +184,43 @@ def _requested_words(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[
             found = find_words(data, offsets)
             h = found.hashes()
             s = segments(h, found.first, words)
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             bounds = np.searchsorted(s.doc, np.arange(j - i + 1))
             content, minimizer = s.content.view(np.int64).tolist(), s.minimizer.view(np.int64).tolist()
             for k, (doc, asked) in enumerate(zip(batch["doc_id"][i:j].to_pylist(), batch["asked"][i:j].to_pylist(), strict=True)):
-                large = {x["content"]: x["large"] for x in asked}
+                shard = {x["content"]: (x["part"], x["split"]) for x in asked}
                 for n in range(bounds[k], bounds[k + 1]):
-                    if content[n] in large:
-                        is_large = large.pop(content[n])
+                    if content[n] in shard:
                         run = h[s.start[n] : s.start[n] + s.windows[n] + words - 1]
-                        for column, value in zip(out, (doc, minimizer[n], content[n], is_large, run.tobytes()), strict=True):
+                        for column, value in zip(out, (doc, minimizer[n], content[n], *shard.pop(content[n]), run.tobytes()), strict=True):
                             column.append(value)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["doc_id", "minimizer", "content", "large", "run"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "minimizer", "content", "part", "split", "run"])
 
 
 def _shard_verdicts(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Rows come ordered by minimizer."""
+    """Rows ordered by minimizer and part. Gives the windows of each content that a smaller doc_id of its shard has
+    and, where the minimizer has several shards, the others with their hashes."""
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
 
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        runs = [np.frombuffer(run, np.uint64) for *_, run in rows]
+        runs = [np.frombuffer(row[-1], np.uint64) for row in rows]
         _, number = np.unique(np.concatenate(runs), return_inverse=True)
         cuts = np.cumsum([len(r) for r in runs])[:-1]
-        taken = taken_windows([(doc, part.tolist()) for (_, doc, _, _), part in zip(rows, np.split(number, cuts), strict=True)], words)
-        kept = [(doc, content, w) for (_, doc, content, _), w in zip(rows, taken, strict=True) if w]
-        if kept:
-            doc, content, windows = zip(*kept, strict=True)
-            yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(content, pa.int64()), pa.array(windows, pa.list_(pa.int32()))], ["doc_id", "content", "taken"])
+        taken = taken_windows([(row[2], part.tolist()) for row, part in zip(rows, np.split(number, cuts), strict=True)], words)
+        out = []
+        for (_, _, doc, content, split, _), run, gone in zip(rows, runs, taken, strict=True):
+            left = np.setdiff1d(np.arange(len(run) - words + 1), gone) if split else np.zeros(0, np.int64)
+            if gone or len(left):
+                hashes = [run_hashes(run, left, left + words, salt).view(np.int64) for salt in (2, 3)]
+                out.append((doc, content, gone or None, left, *hashes))
+        if out:
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "content", "taken", "left", "hash_a", "hash_b"])
 
     rows: list[tuple] = []
     for batch in batches:
-        for row in zip(*(batch[c].to_pylist() for c in ("minimizer", "doc_id", "content", "run")), strict=True):
-            if rows and rows[0][0] != row[0]:
+        for row in zip(*(batch[c].to_pylist() for c in ("minimizer", "part", "doc_id", "content", "split", "run")), strict=True):
+            if rows and rows[0][:2] != row[:2]:
                 yield from settle(rows)
                 rows = []
             rows.append(row)
@@ -219,14 +228,37 @@ def _shard_verdicts(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[p
         yield from settle(rows)
 
 
-def _window_rows(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _window_sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often (0, 1, or 2 and more) each cell has a window; a row for each task."""
+    cells = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for batch in batches:
+        values = batch["hash_a"].flatten().to_numpy()
+        at, times = np.unique(_cells(values), return_counts=True)
+        cells[at] = np.minimum(cells[at] + np.minimum(times, 2), 2)
+    yield pa.record_batch([pa.array([zstandard.compress(cells.tobytes())], pa.binary())], ["sketch"])
+
+
+def _add_sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cells = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for batch in batches:
+        for blob in batch["sketch"].to_pylist():
+            cells = np.minimum(cells + np.frombuffer(zstandard.decompress(blob), np.uint8), 2)
+    yield pa.record_batch([pa.array([zstandard.compress(cells.tobytes())], pa.binary())], ["sketch"])
+
+
+def _window_rows(batches: Iterable[pa.RecordBatch], cells) -> Iterator[pa.RecordBatch]:
+    """A row for each left window whose cell has several."""
     for batch in batches:
-        for doc, content, run in zip(*(batch[c].to_pylist() for c in ("doc_id", "content", "run")), strict=True):
-            h = np.frombuffer(run, np.uint64)
-            start = np.arange(len(h) - words + 1)
-            a, b = (run_hashes(h, start, start + words, salt) for salt in (2, 3))
-            n = len(start)
-            yield pa.record_batch([pa.array(np.full(n, doc)), pa.array(np.full(n, content)), pa.array(start.astype(np.int32)), _signed(a), _signed(b)], ["doc_id", "content", "at", "hash_a", "hash_b"])
+        size = np.diff(batch["left"].offsets.to_numpy())
+        row = np.repeat(np.arange(len(batch)), size)
+        a, b, at = (batch[c].flatten().to_numpy() for c in ("hash_a", "hash_b", "left"))
+        keep = cells.value[_cells(a)] > 1
+        own = pa.array(row[keep])
+        yield pa.record_batch([batch["doc_id"].take(own), batch["content"].take(own), pa.array(at[keep]), pa.array(a[keep]), pa.array(b[keep])], ["doc_id", "content", "at", "hash_a", "hash_b"])
 
 
 def _kept_words(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -241,7 +273,9 @@ def _kept_words(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.Re
                 bounds = np.searchsorted(s.doc, np.arange(j - i + 1))
                 content = s.content.view(np.int64).tolist()
                 for k, listed in enumerate(verdicts):
-                    said = {v["content"]: v["taken"] for v in listed or ()}
+                    said: dict = {}
+                    for v in listed or ():  # a content may have verdicts from its shard and from between shards
+                        said[v["content"]] = None if v["taken"] is None else said.get(v["content"], []) + v["taken"]
                     for n in range(bounds[k], bounds[k + 1]) if said else ():
                         if content[n] in said:
                             taken, at = said[content[n]], int(s.start[n])
@@ -272,20 +306,28 @@ def remove_repeats(docs: DataFrame, words: int = 50) -> DataFrame:
     doc_id never take from each other, and each of them loses what smaller ids have. A row without doc_id keeps
     everything and takes nothing. Windows are judged on the input. An empty table gives an empty result.
     """
+    spark = docs.sparkSession
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(partial(_segment_rows, words=words), "doc_id long, minimizer long, content long, windows int")
     rows = materialize(rows, "segments")
     contents = rows.groupBy("minimizer", "content").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"), F.max("windows").alias("windows"))
+    parts = F.ceil(F.greatest(F.col("n") / SHARD_CONTENTS, F.col("size") / SHARD_WORDS)).cast("int")
     shards = contents.groupBy("minimizer").agg(F.count("*").alias("n"), F.sum(F.col("windows") + words).alias("size"), F.min("owner").alias("low"), F.max("other").alias("high")).where("low < high")
-    active = materialize(contents.join(shards, "minimizer").select("content", "owner", "other", (F.col("n") > 1).alias("mixed"), ((F.col("n") > SHARD_CONTENTS) | (F.col("size") > SHARD_WORDS)).alias("large")), "active")
+    active = contents.join(shards, "minimizer").select("content", "owner", "other", (F.col("n") > 1).alias("mixed"), F.pmod(F.xxhash64("content"), parts).cast("int").alias("part"), (parts > 1).alias("split"))
+    active = materialize(active, "active")
 
     whole = rows.select("doc_id", "content").join(active.where("owner < other").select("content", "owner"), "content").where("doc_id > owner").select("doc_id", "content", F.lit(None).cast("array<int>").alias("taken"))
 
-    asked = active.where("mixed").groupBy(F.col("owner").alias("doc_id")).agg(F.collect_set(F.struct("content", "large")).alias("asked"))
-    texts = packed_texts(docs)
-    runs = materialize(texts.join(asked, "doc_id").mapInArrow(partial(_requested_words, words=words), "doc_id long, minimizer long, content long, large boolean, run binary"), "runs")
-    small = runs.where("not large").select("minimizer", "doc_id", "content", "run").repartition("minimizer").sortWithinPartitions("minimizer", "doc_id", "content")
-    some = small.mapInArrow(partial(_shard_verdicts, words=words), "doc_id long, content long, taken array<int>")
-    windows = runs.where("large").select("doc_id", "content", "run").mapInArrow(partial(_window_rows, words=words), "doc_id long, content long, at int, hash_a long, hash_b long")
+    asked = active.where("mixed").groupBy(F.col("owner").alias("doc_id")).agg(F.collect_set(F.struct("content", "part", "split")).alias("asked"))
+    runs = packed_texts(docs).join(asked, "doc_id").mapInArrow(partial(_requested_words, words=words), "doc_id long, minimizer long, content long, part int, split boolean, run binary")
+    runs = runs.repartition(shuffle_partitions(spark), "minimizer", "part").sortWithinPartitions("minimizer", "part", "doc_id", "content")
+    judged = materialize(runs.mapInArrow(partial(_shard_verdicts, words=words), "doc_id long, content long, taken array<int>, left array<int>, hash_a array<long>, hash_b array<long>"), "judged")
+    some = judged.where("taken is not null").select("doc_id", "content", "taken")
+    between = judged.where("size(left) > 0").select("doc_id", "content", "left", "hash_a", "hash_b")
+    sketches = between.select("hash_a").mapInArrow(_window_sketch, "sketch binary").repartition(16).mapInArrow(_add_sketches, "sketch binary").collect()
+    cells = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for sketch in sketches:
+        cells = np.minimum(cells + np.frombuffer(zstandard.decompress(sketch[0]), np.uint8), 2)
+    windows = between.mapInArrow(partial(_window_rows, cells=spark.sparkContext.broadcast(cells)), "doc_id long, content long, at int, hash_a long, hash_b long")
     least = windows.groupBy("hash_a", "hash_b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
     more = windows.join(least, ["hash_a", "hash_b"]).where("doc_id > low").groupBy("doc_id", "content").agg(F.collect_set("at").alias("taken"))
 
