@@ -1,12 +1,10 @@
-"""Query catalogue: one Spark plan and one DuckDB oracle for each operator family."""
+"""Query catalogue: one Spark plan and, where SQL can express it, one DuckDB oracle for each operator family."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import manifests, ordered, relational, textual, windows
 
-from pyspark.sql import DataFrame, SparkSession
+_PARTS = (relational, manifests, ordered, textual, windows)
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
