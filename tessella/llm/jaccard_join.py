@@ -8,7 +8,8 @@ shingles that both reach into each other's first pivots; each set is therefore r
 first pivots, the window that the triangle inequality on set sizes gives, and no link is lost.
 
 Regions join recursively:
-1. pivots with one set are dropped; a set's largest PLACES regions get its whole text. There sets are ordered by their
+1. pivots with one set are dropped, and sets with fewer shared pivots than any link needs; a set's largest PLACES
+   regions get its whole text. There sets are ordered by their
    distance to a pivot set, and blocks of them are compared exactly where the triangle inequality leaves a window.
    Regions beyond a fixed size are cut into chunks.
 2. pairs that met in no chunk, are in different components so far, and share enough pivots are compared exactly.
@@ -70,7 +71,7 @@ def least_overlap(n: int, percent: int) -> int:
 
 def needed(n):
     """Pivots that a linked pair must share, for the size of its smaller window."""
-    return 1 + n // 64
+    return 1 + n // 32
 
 
 def first_pivots(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
@@ -318,8 +319,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     rows = rows.repartition(shuffle_partitions(spark), "pivot").sortWithinPartitions("pivot", "set_id")
     regions = materialize(rows.mapInArrow(_shared_pivots, "pivot long, set_id long, n int"), "regions")
 
-    sizes = regions.groupBy("pivot").agg(F.count("*").alias("size"))
-    chosen = regions.join(sizes, "pivot").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("size"), "pivot"))).alias("pivots"))
+    least = f"1 + (({percent} * n + 99) div 100) div 32"  # pivots that any link needs: needed() of the smallest partner
+    enough = regions.groupBy("set_id").agg(F.count("*").alias("pivots"), F.max("n").alias("n")).where(f"pivots >= {least}").select("set_id")
+    regions = regions.join(enough, "set_id")
+    sizes = regions.groupBy("pivot").agg(F.count("*").alias("size")).where("size > 1")
+    regions = materialize(regions.join(sizes, "pivot").select("pivot", "set_id", "n", "size"), "regions")
+    chosen = regions.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("size"), "pivot"))).alias("pivots"))
     chosen = chosen.select("set_id", F.slice("pivots.pivot", 1, PLACES).alias("pivots")).join(owners, "set_id")
     texts = materialize(packed_texts(docs).join(chosen, "doc_id").select("set_id", "pivots", "packed"), "region-texts")
 
@@ -329,7 +334,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
     places = met.groupBy("set_id").agg(F.collect_set(F.xxhash64("pivot", "chunk")).alias("met"))
     known = places.join(stars.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", F.coalesce("root", "set_id").alias("component"), *(F.coalesce(F.try_element_at("met", F.lit(x + 1)), F.xxhash64("set_id", F.lit(x))).alias(f"met{x}") for x in range(PLACES)))
-    several = regions.join(known, "set_id").repartition(shuffle_partitions(spark), "pivot").sortWithinPartitions("pivot")
+    several = regions.drop("size").join(known, "set_id").repartition(shuffle_partitions(spark), "pivot").sortWithinPartitions("pivot")
     pairs = several.mapInArrow(partial(_unmet_pairs, percent=percent), "a long, b long, needed int").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("needed").alias("needed")).where("shared >= needed")
     pairs = materialize(pairs.select("a", "b"), "unmet")
     asked = pairs.select(F.col("a").alias("hub"), F.col("b").alias("set_id")).unionByName(pairs.select(F.col("a").alias("hub"), F.col("a").alias("set_id")).distinct())
