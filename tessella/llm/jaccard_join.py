@@ -204,7 +204,7 @@ def _read_sets(blobs: list[bytes], k: int) -> tuple[list[np.ndarray], np.ndarray
     return sets, set_ids(sets)
 
 
-def _region_components(batches: Iterable[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _region_components(batches: Iterable[pa.RecordBatch], k: int, percent: int, chunk_sets: int) -> Iterator[pa.RecordBatch]:
     """Rows ordered by pivot, size and set."""
     region, chunk, held, ids, shingles = None, 0, [], [], 0
 
@@ -219,7 +219,7 @@ def _region_components(batches: Iterable[pa.RecordBatch], k: int, percent: int)
             for s, is_id, pivot, set_id in zip(sets, found.tolist(), batch["pivot"][i:j].to_pylist(), batch["set_id"][i:j].to_pylist(), strict=True):
                 if is_id != set_id:
                     continue  # another row of the same doc_id
-                if pivot != region or len(ids) >= CHUNK_SETS or shingles + len(s) > CHUNK_SHINGLES:
+                if pivot != region or len(ids) >= chunk_sets or shingles + len(s) > CHUNK_SHINGLES:
                     if ids:
                         yield settle()
                     chunk = chunk + 1 if pivot == region else 0
@@ -298,7 +298,7 @@ def _compare_with_hub(batches: Iterable[pa.RecordBatch], k: int, percent: int) -
             yield pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, chunk_sets: int = CHUNK_SETS) -> DataFrame:
     """doc_id, n_shingles and component_id of each document.
 
     Words are lower-cased (A-Z only). Documents link where 100 * shared >= percent * united shingles of `words` words;
@@ -329,7 +329,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     texts = materialize(packed_texts(docs).join(chosen, "doc_id").select("set_id", "pivots", "packed"), "region-texts")
 
     placed = texts.select("set_id", F.explode("pivots").alias("pivot"), "packed").repartition(shuffle_partitions(spark), "pivot").sortWithinPartitions("pivot", F.octet_length("packed"), "set_id")
-    met = materialize(placed.mapInArrow(partial(_region_components, k=words, percent=percent), "set_id long, root long, pivot long, chunk int"), "met")
+    met = materialize(placed.mapInArrow(partial(_region_components, k=words, percent=percent, chunk_sets=chunk_sets), "set_id long, root long, pivot long, chunk int"), "met")
     stars = connected_components(met.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
 
     places = met.groupBy("set_id").agg(F.collect_set(F.xxhash64("pivot", "chunk")).alias("met"))
