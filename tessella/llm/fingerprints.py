@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import shuffle_partitions
-from ._text import LOWER, find_words, mix, text_bytes
+from ._text import LOWER, find_words, mix
+from .jaccard_join import jaccard_components
 
 CHAIN = 2
 GAP = 6
@@ -37,26 +38,34 @@ for _low, _high in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
     _SEPARATE[_low:_high] = False
 
 
-def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
-    words = find_words(np.frombuffer(b"".join(texts), np.uint8), offsets, _SEPARATE)
+    return np.frombuffer(b"".join(texts), np.uint8), offsets
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    words = find_words(data, offsets, _SEPARATE)
     return words.hashes(LOWER), words.first
 
 
-_COMMON_HASHES = np.unique(_word_hashes([w.encode() for w in COMMON.split()])[0])
+_COMMON_HASHES = np.unique(_word_hashes(*_joined([w.encode() for w in COMMON.split()]))[0])
 _SIEVE = np.zeros(1 << 16, bool)
 _SIEVE[_COMMON_HASHES >> np.uint64(48)] = True
 
 
 def signature_sets(texts: list[bytes]) -> np.ndarray:
+    return signatures(*_joined(texts))
+
+
+def signatures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sorted distinct numbers (text << 32 | signature) of all texts.
 
     Chains end with their text; a text without words has no signature.
     """
-    h, first = _word_hashes(texts)
+    h, first = _word_hashes(data, offsets)
     if not len(h):
         return np.zeros(0, np.uint64)
-    doc = np.repeat(np.arange(len(texts)), np.diff(first))
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     common = _SIEVE[h >> np.uint64(48)]
     at = np.flatnonzero(common)
     near = np.minimum(np.searchsorted(_COMMON_HASHES, h[at]), len(_COMMON_HASHES) - 1)
@@ -95,6 +104,24 @@ def likeness(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return np.where(union == 0, 1.0, common / np.maximum(union, 1))
 
 
+def spot_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Signature set of each text, spread over 64 bits."""
+    found, n = signatures(data, offsets), len(offsets) - 1
+    spread = mix(found & np.uint64(0xFFFFFFFF))
+    return [np.sort(x) for x in np.split(spread, np.cumsum(sizes(found, n))[:-1])] if n else []
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_signatures and class_id (the smallest doc_id reachable by links) of each document.
+
+    Documents link where the Jaccard of their signature sets is percent / 100 or more. Only sets whose lengths allow
+    this are compared: the join's windows on set sizes prune the rest, and no pairs are formed within a class. Nulls,
+    empty texts, repeated rows and empty tables are handled as in jaccard_components.
+    """
+    found = jaccard_components(docs, percent=percent, sets_of=spot_sets)
+    return found.select("doc_id", F.col("n_shingles").alias("n_signatures"), F.col("component_id").alias("class_id"))
+
+
 def edited_text(text: str, following: str) -> str:
     """The last quarter of the code points replaced by the first as many of the following text."""
     k = len(text) // 4

@@ -19,7 +19,7 @@ Equal sets are joined as one. The result has components, not pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -39,6 +39,8 @@ CHUNK_SETS = 4000
 CHUNK_SHINGLES = 3_000_000
 BLOCK = 512
 
+SetsOf = Callable[[np.ndarray, np.ndarray], list[np.ndarray]]  # from bytes and offsets: sorted distinct hashes
+
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     """Sorted distinct k-word shingles of each document; with fewer words, the whole sequence is one."""
@@ -138,13 +140,13 @@ def block_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return out
 
 
-def _sets_and_sketch(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _sets_and_sketch(batches: Iterable[pa.RecordBatch], sets_of: SetsOf) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n", "set_id", "sketch"]
     cells = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
         data, offsets = text_bytes(batch["text"])
         for i, j in slices(offsets):
-            sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+            sets = sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             flat = np.concatenate(sets)
             cells += np.bincount((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells))
             yield pa.record_batch([batch["doc_id"][i:j].cast(pa.int64()), pa.array(np.fromiter(map(len, sets), np.int64, j - i)), pa.array(set_ids(sets)), pa.nulls(j - i, pa.binary())], names)
@@ -159,11 +161,11 @@ def _sum_sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.record_batch([pa.array([zstandard.compress(cells.tobytes())], pa.binary())], ["sketch"])
 
 
-def _pivot_rows(batches: Iterable[pa.RecordBatch], k: int, percent: int, levels) -> Iterator[pa.RecordBatch]:
+def _pivot_rows(batches: Iterable[pa.RecordBatch], sets_of: SetsOf, percent: int, levels) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_bytes(batch["text"])
         for i, j in slices(offsets):
-            sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+            sets = sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             ids = set_ids(sets)
             pivots = [first_pivots(s, levels.value, percent) for s in sets]
             counts = np.fromiter(map(len, pivots), np.int64, len(pivots))
@@ -199,12 +201,12 @@ def _shared_pivots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield row(held)
 
 
-def _read_sets(blobs: list[bytes], k: int) -> tuple[list[np.ndarray], np.ndarray]:
-    sets = shingle_sets(*unpacked(blobs), k)
+def _read_sets(blobs: list[bytes], sets_of: SetsOf) -> tuple[list[np.ndarray], np.ndarray]:
+    sets = sets_of(*unpacked(blobs))
     return sets, set_ids(sets)
 
 
-def _region_components(batches: Iterable[pa.RecordBatch], k: int, percent: int, chunk_sets: int) -> Iterator[pa.RecordBatch]:
+def _region_components(batches: Iterable[pa.RecordBatch], sets_of: SetsOf, percent: int, chunk_sets: int) -> Iterator[pa.RecordBatch]:
     """Rows ordered by pivot, size and set."""
     region, chunk, held, ids, shingles = None, 0, [], [], 0
 
@@ -215,7 +217,7 @@ def _region_components(batches: Iterable[pa.RecordBatch], k: int, percent: int,
 
     for batch in batches:
         for i, j, blobs in blocks(batch["packed"]):
-            sets, found = _read_sets(blobs, k)
+            sets, found = _read_sets(blobs, sets_of)
             for s, is_id, pivot, set_id in zip(sets, found.tolist(), batch["pivot"][i:j].to_pylist(), batch["set_id"][i:j].to_pylist(), strict=True):
                 if is_id != set_id:
                     continue  # another row of the same doc_id
@@ -279,12 +281,12 @@ def _unmet_pairs(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa
         yield from pairs(joined[1], joined[2], joined[3], np.stack(joined[4:], axis=1))
 
 
-def _compare_with_hub(batches: Iterable[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _compare_with_hub(batches: Iterable[pa.RecordBatch], sets_of: SetsOf, percent: int) -> Iterator[pa.RecordBatch]:
     """Rows ordered by hub, each hub's own text first."""
     hub, own = None, np.zeros(0, np.uint64)
     for batch in batches:
         for i, j, blobs in blocks(batch["packed"]):
-            sets, found = _read_sets(blobs, k)
+            sets, found = _read_sets(blobs, sets_of)
             links: list[tuple[int, int]] = []
             for s, is_id, of, set_id in zip(sets, found.tolist(), batch["hub"][i:j].to_pylist(), batch["set_id"][i:j].to_pylist(), strict=True):
                 if is_id != set_id:
@@ -298,16 +300,17 @@ def _compare_with_hub(batches: Iterable[pa.RecordBatch], k: int, percent: int) -
             yield pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, chunk_sets: int = CHUNK_SETS) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, chunk_sets: int = CHUNK_SETS, sets_of: SetsOf | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of each document.
 
     Words are lower-cased (A-Z only). Documents link where 100 * shared >= percent * united shingles of `words` words;
     component_id is the smallest doc_id reachable by links. A document without words, or a null text, links with
-    nothing, not even its equals. Repeated rows are rows of their own. A row without doc_id gets the component of the
+    nothing, not even its equals. sets_of, which finds other sets of 64-bit hashes in UTF-8 texts, may replace shingles. Repeated rows are rows of their own. A row without doc_id gets the component of the
     rows it links with, or none. An empty table gives an empty result. Only doc_id and text are read.
     """
     spark = docs.sparkSession
-    found = docs.select("doc_id", "text").mapInArrow(partial(_sets_and_sketch, k=words), "doc_id long, n long, set_id long, sketch binary")
+    sets_of = sets_of or partial(shingle_sets, k=words)
+    found = docs.select("doc_id", "text").mapInArrow(partial(_sets_and_sketch, sets_of=sets_of), "doc_id long, n long, set_id long, sketch binary")
     found = materialize(found, "sets")
     sketches = found.where("sketch is not null").select("sketch").repartition(16).mapInArrow(_sum_sketches, "sketch binary").collect()
     cells = sum((np.frombuffer(zstandard.decompress(r[0]), np.int64) for r in sketches), np.zeros(1 << SKETCH_BITS, np.int64))
@@ -315,7 +318,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, chunk
     sets = found.where("sketch is null").select("doc_id", "n", "set_id")
     owners = sets.where("n > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
 
-    rows = docs.select("text").where(F.length("text") > 0).mapInArrow(partial(_pivot_rows, k=words, percent=percent, levels=levels), "pivot long, set_id long, n int")
+    rows = docs.select("text").where(F.length("text") > 0).mapInArrow(partial(_pivot_rows, sets_of=sets_of, percent=percent, levels=levels), "pivot long, set_id long, n int")
     rows = rows.repartition(shuffle_partitions(spark), "pivot").sortWithinPartitions("pivot", "set_id")
     regions = materialize(rows.mapInArrow(_shared_pivots, "pivot long, set_id long, n int"), "regions")
 
@@ -329,7 +332,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, chunk
     texts = materialize(packed_texts(docs).join(chosen, "doc_id").select("set_id", "pivots", "packed"), "region-texts")
 
     placed = texts.select("set_id", F.explode("pivots").alias("pivot"), "packed").repartition(shuffle_partitions(spark), "pivot").sortWithinPartitions("pivot", F.octet_length("packed"), "set_id")
-    met = materialize(placed.mapInArrow(partial(_region_components, k=words, percent=percent, chunk_sets=chunk_sets), "set_id long, root long, pivot long, chunk int"), "met")
+    met = materialize(placed.mapInArrow(partial(_region_components, sets_of=sets_of, percent=percent, chunk_sets=chunk_sets), "set_id long, root long, pivot long, chunk int"), "met")
     stars = connected_components(met.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
 
     places = met.groupBy("set_id").agg(F.collect_set(F.xxhash64("pivot", "chunk")).alias("met"))
@@ -340,7 +343,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, chunk
     asked = pairs.select(F.col("a").alias("hub"), F.col("b").alias("set_id")).unionByName(pairs.select(F.col("a").alias("hub"), F.col("a").alias("set_id")).distinct())
     beside = asked.join(texts.select("set_id", "packed"), "set_id").withColumn("other", (F.col("hub") != F.col("set_id")).cast("int"))
     beside = beside.repartition(shuffle_partitions(spark), "hub").sortWithinPartitions("hub", "other", "set_id").select("hub", "set_id", "packed")
-    more = beside.mapInArrow(partial(_compare_with_hub, k=words, percent=percent), "a long, b long")
+    more = beside.mapInArrow(partial(_compare_with_hub, sets_of=sets_of, percent=percent), "a long, b long")
     graph = connected_components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     labelled = owners.join(graph.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))

@@ -229,3 +229,22 @@ def test_signatures_are_local():
     words[150] = "changed"
     b = fingerprints.signature_sets([" ".join(words).encode()])
     assert len(np.setxor1d(a, b)) < 0.1 * len(a)
+
+
+def test_near_duplicates_by_signature(spark):
+    rows = rows_of(corpus(12, 50))
+    got = {r.doc_id: (r.n_signatures, r.class_id) for r in fingerprints.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    sets = {k: set(fingerprints.signature_sets([(t or "").encode()]).tolist()) for k, t, *_ in rows}
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if b < a and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert got == {k: (len(sets[k]), find(k)) for k in sets}
