@@ -171,7 +171,7 @@ def _judged(column: pa.Array, benchmark: Benchmark, threshold: float) -> Iterato
             yield i + d, *rest
 
 
-def leaked_items(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, seed: int = SEED, broadcast_bytes: int = 32_000_000) -> DataFrame:
+def leaked_items(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, seed: int = SEED, broadcast_bytes: int = 32_000_000) -> DataFrame:
     """doc_id, item_id, coverage (share of the item's words under tiles), n_tiles and longest (words of the longest
     tile), of each document and benchmark item with a coverage of threshold or more.
 
@@ -200,7 +200,7 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, seed: int = SEED, broadcast_bytes: int = 32_000_000) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, seed: int = SEED, broadcast_bytes: int = 32_000_000) -> DataFrame:
     """The rows of docs, with all columns, that leak no benchmark item, as leaked_items judges."""
     for part in _shards(benchmark, broadcast_bytes, seed):
         sent = docs.sparkSession.sparkContext.broadcast(part)
