@@ -126,8 +126,7 @@ def group_p50_p90_stats(spark, d):
 
 @query("SELECT event_type, quantile_disc(value, 0.9) AS p90 FROM (SELECT event_type, value FROM events WHERE value IS NOT NULL) GROUP BY 1")
 def nearest_rank_quantile(spark, d):
-    ranked = table(spark, d, "events").where("value is not null").groupBy("event_type").agg(F.array_sort(F.collect_list("value")).alias("v"))
-    return ranked.select("event_type", F.element_at("v", F.ceil(F.size("v") * F.lit(0.9)).cast("int")).alias("p90"))
+    return table(spark, d, "events").where("value is not null").groupBy("event_type").agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY value)").alias("p90"))
 
 
 @query("""
