@@ -207,7 +207,8 @@ def _read_sets(blobs: list[bytes], sets_of: SetsOf) -> tuple[list[np.ndarray], n
 
 
 def _region_components(batches: Iterable[pa.RecordBatch], sets_of: SetsOf, percent: int, chunk_sets: int) -> Iterator[pa.RecordBatch]:
-    """Rows ordered by pivot, size and set."""
+    """Rows ordered by pivot, and within it by a hash of set and pivot: the chunks of a large region mix its sets anew in
+    each region, so that few components are left between chunks."""
     region, chunk, held, ids, shingles = None, 0, [], [], 0
 
     def settle() -> pa.RecordBatch:
@@ -331,7 +332,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, chunk
     chosen = chosen.select("set_id", F.slice("pivots.pivot", 1, PLACES).alias("pivots")).join(owners, "set_id")
     texts = materialize(packed_texts(docs).join(chosen, "doc_id").select("set_id", "pivots", "packed"), "region-texts")
 
-    placed = texts.select("set_id", F.explode("pivots").alias("pivot"), "packed").repartition(shuffle_partitions(spark), "pivot").sortWithinPartitions("pivot", F.octet_length("packed"), "set_id")
+    placed = texts.select("set_id", F.explode("pivots").alias("pivot"), "packed").repartition(shuffle_partitions(spark), "pivot").sortWithinPartitions("pivot", F.xxhash64("set_id", "pivot"), "set_id")
     met = materialize(placed.mapInArrow(partial(_region_components, sets_of=sets_of, percent=percent, chunk_sets=chunk_sets), "set_id long, root long, pivot long, chunk int"), "met")
     stars = connected_components(met.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
 

@@ -196,3 +196,23 @@ def test_pipeline_stages(spark):
         now = after
     packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in now.collect()}
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_pipeline_on_odd_tables(spark, tmp_path, empty):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, packed int"
+    prose = "the cat sat on the mat and looked at the other cat for a long while before it left"
+    rows = [(1, prose, "en", "a", 84, "x", 0), (1, prose, "en", "a", 84, "x", 0), (2, None, None, None, None, None, None), (3, "", "en", "b", 0, "x", 1), (4, "!!! 123", None, "b", 7, "x", 1)]
+    rows += [(None, "nobody knows which document this one is or was", "en", "a", 46, "x", 0), (7, prose.upper(), "en", "a", 84, "x", 0), (8, "eins zwei drei token = \"0123456789abcdef0123456789abcdef\" vier", "de", "c", 60, "x", 0)]
+    docs = spark.createDataFrame([] if empty else rows, schema)
+    spark.createDataFrame([(0, "one two three four five six seven eight"), (1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns
+        now = spark.createDataFrame(now.collect(), docs.schema)
+    if not empty:
+        assert sorted(r.doc_id or 0 for r in now.collect()) == [0, 1, 8]
+        assert next(r.text for r in now.collect() if r.doc_id == 8) == "eins zwei drei [SECRET]\" vier"
+    packed = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+    assert sorted(r.doc_id or 0 for r in packed) == ([] if empty else [0, 1, 8])
