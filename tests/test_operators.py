@@ -119,3 +119,41 @@ def test_stream_resumes(spark, tmp_path):
     events.run_to_end(stream, out, offsets)
     assert spark.read.parquet(out).count() == 80
     assert events.not_done(batch(0, 100), spark.read.parquet(out), ["id"]).count() == 20
+
+
+def test_rows_by_place_and_by_position(spark):
+    from tessella.operators import joins
+
+    rows = spark.range(50).select(F.lit("f").alias("file"), "id", (F.col("id") * 2).alias("v"))
+    wanted = spark.createDataFrame([("f", 3), ("f", 3), ("f", 40), ("g", 1)], "file string, id long")
+    assert sorted(r.v for r in joins.looked_up(wanted, rows, ["file", "id"]).collect()) == [6, 80]
+    a, b = spark.range(5).select(F.col("id").alias("a")), spark.range(10, 15).select(F.col("id").alias("b"))
+    assert {(r.a, r.b) for r in joins.zipped(a, b, "a", "b").collect()} == {(k, k + 10) for k in range(5)}
+    try:
+        joins.zipped(a, b.where("b < 13"), "a", "b").collect()
+    except Exception as error:
+        assert "different length" in str(error)
+    else:
+        raise AssertionError("no error for tables of different length")
+
+
+def test_vectors_as_expressions(spark):
+    row = spark.createDataFrame([([3.0, 4.0], [0.0, 1.0], [0.0, 0.0])], "a array<double>, b array<double>, z array<double>")
+    got = row.select(vectors.unit(F.col("a")).alias("u"), vectors.mixed(F.col("a"), F.col("b"), 0.5).alias("m"), vectors.steered(F.col("a"), F.col("b"), 2.0).alias("s"), vectors.cosine(F.col("a"), F.col("z")).alias("c")).first()
+    assert got.u == [0.6, 0.8] and got.m == [1.5, 2.5] and got.c is None
+    assert abs(np.linalg.norm(got.s) - 5) < 1e-9
+
+
+def test_text_sources(spark, tmp_path):
+    (tmp_path / "lex.tsv").write_text("# comment\nword\tx\n\nword\ty\nother\n", encoding="utf-8")
+    assert {r.word for r in manifest.lexicon(spark, str(tmp_path / "lex.tsv")).collect()} == {"word", "other"}
+    lines = spark.createDataFrame([("utt1  hello there",), ("utt2",), ("  ",)], "value string")
+    assert {(r.id, r.text) for r in manifest.transcripts(lines).collect()} == {("utt1", "hello there"), ("utt2", "")}
+    rows = spark.createDataFrame([('{"audio_filepath": "a.wav", "duration": 1.5, "words": [{"word": "x", "start": 0.1, "end": null}]}',), ('{"audio_filepath": "b.wav", ',), ("[]",), ("",)], "value string")
+    parsed = manifest.parsed(rows).collect()
+    assert [r.audio_filepath for r in parsed if r.audio_filepath] == ["a.wav"]
+    timed = manifest.parsed(rows).where("audio_filepath is not null").select(gates.all_timed(F.col("words")).alias("t")).first()
+    assert timed.t is False
+    sinks.tsv(spark.createDataFrame([("a\tb\nc", 1)], "t string, n int"), str(tmp_path / "tsv"))
+    assert spark.read.csv(str(tmp_path / "tsv"), sep="\t", header=True).first().t == "a b c"
+    assert sinks.markdown(spark.range(1)) == "| id |\n| --- |\n| 0 |"
