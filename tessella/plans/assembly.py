@@ -176,4 +176,4 @@ def role_subset_check(spark, d):
 @query("SELECT conv_id, count(*) FILTER (g > 40) AS long_turns, max(g) - min(g) AS spread FROM (SELECT conv_id, length(text) AS g FROM conversations) GROUP BY 1 HAVING count(*) > 2")
 def having_filter(spark, d):
     g = F.length("text")
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(g > 40).alias("long_turns"), (F.max(g) - F.min(g)).alias("spread"), F.count("*").alias("n")).where("n > 2").drop("n")
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(g > 40).alias("long_turns"), (F.max(g) - F.min(g)).cast("long").alias("spread"), F.count("*").alias("n")).where("n > 2").drop("n")

@@ -162,7 +162,7 @@ def argmin_step(spark, d):
 
 @query("""
 WITH steps AS (SELECT unnest([1000, 2000, 3000, 4000, 5000]) AS step), e AS (SELECT event_id, value FROM events WHERE event_id % 37 = 0)
-SELECT step, event_id AS nearest FROM (SELECT step, event_id, row_number() OVER (PARTITION BY step ORDER BY abs(event_id - step), event_id) AS rn FROM steps JOIN e ON abs(event_id - step) < 200) WHERE rn = 1""")
+SELECT CAST(step AS BIGINT) AS step, event_id AS nearest FROM (SELECT step, event_id, row_number() OVER (PARTITION BY step ORDER BY abs(event_id - step), event_id) AS rn FROM steps JOIN e ON abs(event_id - step) < 200) WHERE rn = 1""")
 def nearest_step_lookup(spark, d):
     e = table(spark, d, "events").where("event_id % 37 = 0").select("event_id")
     # Band join by equal keys: each event reaches the steps of its bucket of 200 and of the two beside it.
@@ -194,7 +194,7 @@ def rotated_self_join(spark, d):
     return k.select("vec_id", ((F.col("k") + 1) % n).alias("k")).join(k.select(F.col("vec_id").alias("next_id"), "k"), "k").select("vec_id", "next_id")
 
 
-@query("SELECT doc_id, i AS chunk, i * 25.0 AS start, least(i * 25.0 + 30, n_chars / 15.0) AS \"end\" FROM documents, range(0, 3000) t(i) WHERE i < greatest(ceil((n_chars / 15.0 - 5) / 25), 1)")
+@query("SELECT doc_id, i AS chunk, CAST(i * 25.0 AS DOUBLE) AS start, CAST(least(i * 25.0 + 30, n_chars / 15.0) AS DOUBLE) AS \"end\" FROM documents, range(0, 3000) t(i) WHERE i < greatest(ceil((n_chars / 15.0 - 5) / 25), 1)")
 def overlapped_chunks(spark, d):
     chunks = intervals.overlapped_chunks(F.col("n_chars") / 15.0)
     return table(spark, d, "documents").select("doc_id", F.posexplode(chunks).alias("chunk", "c")).select("doc_id", F.col("chunk").cast("long").alias("chunk"), "c.start", "c.end")

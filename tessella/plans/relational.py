@@ -50,7 +50,7 @@ def source_hours_share(spark, d):
     return sums.select("source", "n", F.round(F.col("c") / 15.0 / 3600, 6).alias("hours"), F.round(F.col("c") * 1.0 / F.sum("c").over(Window.partitionBy(F.lit(0))), 8).alias("share"))
 
 
-@query("SELECT coalesce(source, 'TOTAL') AS source, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY ROLLUP (source)")
+@query("SELECT coalesce(source, 'TOTAL') AS source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ROLLUP (source)")
 def source_rollup_total(spark, d):
     return table(spark, d, "documents").rollup("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")).select(F.coalesce("source", F.lit("TOTAL")).alias("source"), "n", "chars")
 
@@ -101,7 +101,7 @@ def bucket_weights_normalised(spark, d):
     return sums.select("bucket", F.round(F.col("w") / F.sum("w").over(Window.partitionBy(F.lit(0))), 6).alias("weight"))
 
 
-@query("SELECT unnest([0.01, 0.05, 0.5, 0.9, 0.95, 0.99]) AS q, round(unnest(quantile_cont(n_chars / 15.0, [0.01, 0.05, 0.5, 0.9, 0.95, 0.99])), 6) AS seconds FROM documents")
+@query("SELECT CAST(unnest([0.01, 0.05, 0.5, 0.9, 0.95, 0.99]) AS DOUBLE) AS q, round(unnest(quantile_cont(n_chars / 15.0, [0.01, 0.05, 0.5, 0.9, 0.95, 0.99])), 6) AS seconds FROM documents")
 def duration_quantiles(spark, d):
     shares = [0.01, 0.05, 0.5, 0.9, 0.95, 0.99]
     exact = table(spark, d, "documents").agg(F.percentile(seconds(), F.array(*map(F.lit, shares))).alias("p"))

@@ -150,7 +150,7 @@ def contamination_exact(spark, d):
 @query("""
 WITH p AS (SELECT conv_id, text AS r, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS h FROM conversations),
 a AS (SELECT *, levenshtein(r, h) AS e FROM p WHERE h IS NOT NULL AND regexp_full_match(concat(r, h), '[ -~\n\t]+') AND length(r) > 0)
-SELECT conv_id, count(*) AS n, sum(e) AS edits, round(sum(e) * 1.0 / sum(length(r)), 8) AS micro_cer, round(avg(e * 1.0 / length(r)), 8) AS macro_cer FROM a GROUP BY 1""")
+SELECT conv_id, count(*) AS n, CAST(sum(e) AS BIGINT) AS edits, round(sum(e) * 1.0 / sum(length(r)), 8) AS micro_cer, round(avg(e * 1.0 / length(r)), 8) AS macro_cer FROM a GROUP BY 1""")
 def cer_pairs_micro_macro(spark, d):
     a = _pairs(spark, d).where("length(r) > 0 and concat(r, h) rlike '^[ -~\\n\\t]+$'").withColumn("e", score.char_edits(F.col("r"), F.col("h")))
     return a.groupBy("conv_id").agg(F.count("*").alias("n"), F.sum("e").alias("edits"), F.round(F.sum("e") / F.sum(F.length("r")), 8).alias("micro_cer"), F.round(F.avg(F.col("e") / F.length("r")), 8).alias("macro_cer"))
