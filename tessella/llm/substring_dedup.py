@@ -159,6 +159,8 @@ class Automaton:
 
 def taken_windows(shard: list[tuple[int, list[int]]], width: int) -> list[list[int]]:
     """Of each (owner, sequence) of a shard, the starts of the windows that a smaller owner has too."""
+    if len(shard) == 1:
+        return [[]]
     machine = Automaton()
     for owner, sequence in shard:
         machine.add(sequence, owner)
