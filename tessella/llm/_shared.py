@@ -2,50 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.tables import materialize, shared_dir, table
 
-_ROOTS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables below spark.checkpoint.dir, which every executor sees.
-
-    A temporary folder is made only where the setting is absent, as in local tests.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _ROOTS:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        root = f"{base.rstrip('/')}/tessella-{app}-{uuid.uuid4().hex[:8]}"
-        _ROOTS[app] = root
-        atexit.register(_remove, spark, root)
-    return _ROOTS[app]
-
-
-def _remove(spark: SparkSession, root: str) -> None:
-    try:
-        jvm = spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the JVM may be gone by now
-        return
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["materialize", "shared_dir", "shuffle_partitions", "table"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
