@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +48,22 @@ def run_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoin
     df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def stop_at_target(stream: DataFrame, by: str, order: str, seconds: str, target: float) -> DataFrame:
+    """Rows of each key, as they come (within a batch by `order`), until their seconds reach the target; the row that
+    crosses it stays. The state of a key is one sum."""
+    kinds = dict(stream.dtypes)
+
+    def keep(key: tuple, parts: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        spent = state.get[0] if state.exists else 0.0
+        rows = pd.concat(list(parts)).sort_values(order)
+        before = spent + rows[seconds].cumsum().shift(fill_value=0.0)
+        state.update((float(spent + rows[seconds].sum()),))
+        yield rows[before < target]
+
+    columns = ", ".join(f"`{c}` {kinds[c]}" for c in stream.columns)
+    return stream.groupBy(by).applyInPandasWithState(keep, columns, "spent double", "append", "NoTimeout")
+
+
 def not_done(todo: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:
     """Work without a row in the append-only log."""
     return todo.join(log.select(*keys).distinct(), keys, "left_anti")

@@ -157,3 +157,14 @@ def test_text_sources(spark, tmp_path):
     sinks.tsv(spark.createDataFrame([("a\tb\nc", 1)], "t string, n int"), str(tmp_path / "tsv"))
     assert spark.read.csv(str(tmp_path / "tsv"), sep="\t", header=True).first().t == "a b c"
     assert sinks.markdown(spark.range(1)) == "| id |\n| --- |\n| 0 |"
+
+
+def test_stream_stops_at_target(spark, tmp_path):
+    path, out, offsets = (str(tmp_path / n) for n in ("in", "out", "offsets"))
+    rows = lambda a, b: spark.range(a, b).select("id", (F.col("id") % 2).cast("string").alias("k"), F.lit(2.0).alias("s")).coalesce(1)
+    schema = rows(0, 1).schema
+    for a, b in ((0, 6), (6, 20)):
+        rows(a, b).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        events.run_to_end(events.stop_at_target(stream, "k", "id", "s", 9.0), out, offsets)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(10))  # five rows of each key
