@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -58,13 +57,13 @@ _SOUND = re.compile("|".join([*(s for s, _ in SOUNDS), *VOWELS, "[a-z]"]))
 _SOUND_OF = dict(SOUNDS)
 
 
-def recognition_text(text: str, lang: str | None, representable: Callable[[str], bool] | None = None) -> str:
-    """Composed, folded, numbers in words, lower case; what cannot be represented becomes a blank."""
+def recognition_text(text: str, lang: str | None, unknown: re.Pattern | None = None) -> str:
+    """Composed, folded, numbers in words, lower case; what matches unknown becomes a blank."""
     text = unicodedata.normalize("NFC", text).translate(_REMOVED).translate(_FOLDED).translate(_DIGITS)
     say = nepali_number if lang == "ne-NP" else english_number
     text = NUMBER.sub(lambda m: f" {say(m[0])} ", text).lower()
-    if representable is not None:
-        text = "".join(c if c == " " or representable(c) else " " for c in text)
+    if unknown is not None:
+        text = unknown.sub(" ", text)
     return " ".join(text.split())
 
 
@@ -73,15 +72,8 @@ def asr_normalized(text: Column, lang: Column, kept: str | None = None) -> Colum
 
     @F.pandas_udf(T.StringType())
     def run(texts: pd.Series, langs: pd.Series) -> pd.Series:
-        match = re.compile(f"[{kept}]").match if kept else None
-        known: dict[str, bool] = {}
-
-        def representable(c: str) -> bool:
-            if c not in known:
-                known[c] = match(c) is not None
-            return known[c]
-
-        return pd.Series([None if t is None else recognition_text(t, v, representable if match else None) for t, v in zip(texts, langs, strict=True)], dtype=object)
+        unknown = re.compile(f"[^{kept} ]+") if kept else None
+        return pd.Series([None if t is None else recognition_text(t, v, unknown) for t, v in zip(texts, langs, strict=True)], dtype=object)
 
     return run(text, lang)
 
