@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm._shared import materialize, table
+from tessella.llm._shared import bounded_batches, materialize, table
 from tessella.llm.decontaminate import drop_leaks
 from tessella.llm.jaccard_join import keep_one_of_each
 from tessella.llm.language_id import fit_languages, keep_identified
@@ -23,6 +23,7 @@ from tessella.llm.secrets import fit_field, redact_secrets
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return keep_identified(docs, fit_languages(docs))
 
 

@@ -36,7 +36,7 @@ from .components import connected_components
 SKETCH_BITS = 18
 PLACES = 3
 CHUNK_SETS = 4000
-CHUNK_SHINGLES = 3_000_000
+CHUNK_SHINGLES = 1_500_000
 BLOCK = 512
 
 SetsOf = Callable[[np.ndarray, np.ndarray], list[np.ndarray]]  # from bytes and offsets: sorted distinct hashes
@@ -356,7 +356,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, chunk
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Of each group of linked documents the row with the smallest doc_id, with all columns.
 
-    Of rows with one doc_id and equal or linked texts one stays; rows without doc_id all stay.
+    Rows of one doc_id count as one document, and one of them stays; rows without doc_id all stay.
     """
     found = jaccard_components(docs, words, percent).where("doc_id is not null")
     stay = found.groupBy("doc_id").agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("stays")).where("stays").select("doc_id")
