@@ -1,9 +1,8 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that adds what they miss.
 
 The field tags tokens as begin (B), inside (I) or outside (O) of a secret from token shape, neighbouring words and
-features of the whole text, and is decoded by Viterbi. Only tokens within CONTEXT characters of a candidate (a run
-of at least 12 key characters with a digit) are decoded; all others are outside by definition. It is trained on a
-bounded sample of texts, tagged by the fixed patterns, and on generated assignments.
+features of the whole text, and is decoded by Viterbi over all tokens of each text (Decoder, exact). It is trained on
+a bounded sample of windows, tagged by the fixed patterns, and on generated assignments.
 """
 
 from __future__ import annotations
@@ -31,6 +30,8 @@ CONTEXT = 80
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.\-]+|[^\sA-Za-z0-9+/_.\-]")
 _RUN = re.compile(r"[A-Za-z0-9+/_\-]{12,}")
 _DIGIT = re.compile(r"[0-9]")
+_HEX_ONLY = re.compile(r"[0-9a-f]+")
+_CLASSES = str.maketrans(dict.fromkeys("0123456789", "9") | dict.fromkeys("abcdefghijklmnopqrstuvwxyz", "a") | dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"))
 _KEYWORDS = {"password", "passwd", "pwd", "secret", "token", "key", "apikey", "api_key", "auth", "bearer", "credential", "credentials", "access", "private"}
 B, I, O = range(3)  # noqa: E741
 
@@ -78,22 +79,43 @@ def shape(token: str) -> str:
     return "".join(out[:6])
 
 
-def token_features(tokens: list[str], text_length: int) -> list[list[str]]:
-    """Feature names of each token."""
+def is_key(token: str) -> bool:
+    w = token.lower().strip("._-")
+    return w in _KEYWORDS or any(k in w for k in ("passw", "secret", "token", "key")) and len(w) < 24
+
+
+def is_run(token: str) -> bool:
+    return len(token) >= 12 and any(c.isdigit() for c in token)
+
+
+def case_mix(token: str) -> int:
+    return any(c.isdigit() for c in token) + any(c.islower() for c in token) + 2 * any(c.isupper() for c in token)
+
+
+def text_features(runs: int, text_length: int) -> list[str]:
+    return [f"runs{min(runs, 4)}", f"text{min(text_length.bit_length(), 16)}"]
+
+
+def own_features(token: str) -> list[str]:
+    """Feature names that need neither neighbours nor the text."""
+    digits = sum(c.isdigit() for c in token)
+    names = ["bias", f"shape {shape(token)}", f"size{min(len(token).bit_length(), 8)} mix{case_mix(token)}", f"digits{min(9, 10 * digits // max(1, len(token)))}", f"hex{_HEX_ONLY.fullmatch(token) is not None} size{min(len(token) // 4, 12)}"]
+    if token.startswith("AKIA"):
+        names.append("akia")
+    if is_key(token):
+        names.append("key")
+    return names
+
+
+def token_features(tokens: list[str], text_length: int, runs: int | None = None) -> list[list[str]]:
+    """Feature names of each token; runs is the whole text's number of runs, where tokens are a part of it."""
     shapes = [shape(t) for t in tokens]
-    words = [t.lower().strip("._-") for t in tokens]
-    key = [w in _KEYWORDS or any(k in w for k in ("passw", "secret", "token", "key")) and len(w) < 24 for w in words]
-    runs = sum(len(t) >= 12 and any(c.isdigit() for c in t) for t in tokens)
-    file = [f"runs{min(runs, 4)}", f"text{min(text_length.bit_length(), 16)}"]
+    key = [is_key(t) for t in tokens]
+    file = text_features(sum(map(is_run, tokens)) if runs is None else runs, text_length)
     out = []
     for k, t in enumerate(tokens):
-        digits = sum(c.isdigit() for c in t)
-        mix = (digits > 0) + any(c.islower() for c in t) + 2 * any(c.isupper() for c in t)
-        names = ["bias", f"shape {shapes[k]}", f"size{min(len(t).bit_length(), 8)} mix{mix}", f"digits{min(9, 10 * digits // max(1, len(t)))}", f"hex{re.fullmatch('[0-9a-f]+', t) is not None} size{min(len(t) // 4, 12)}"]
-        if t.startswith("AKIA"):
-            names.append("akia")
-        if key[k]:
-            names.append("key")
+        digits, mix = any(c.isdigit() for c in t), case_mix(t)
+        names = own_features(t)
         for d in (1, 2, 3):
             if k >= d:
                 names.append(f"-{d} {shapes[k - d]}" if d < 3 else "-3")
@@ -101,7 +123,7 @@ def token_features(tokens: list[str], text_length: int) -> list[list[str]]:
                     names.append(f"-{d} key mix{mix}")
         if k + 1 < len(tokens):
             names.append(f"+1 {shapes[k + 1]}")
-        names += [f"{f} long{len(t) >= 12} digit{digits > 0}" for f in file]
+        names += [f"{f} long{len(t) >= 12} digit{digits}" for f in file]
         out.append(names)
     return out
 
@@ -120,39 +142,125 @@ class Field:
 
     def decode(self, features: list[list[str]]) -> list[int]:
         """Viterbi path."""
-        scores = self.scores(features).tolist()
-        step = self.step.tolist()
-        best, back = [a + b for a, b in zip(self.first.tolist(), scores[0], strict=True)], []
+        return self.path(self.scores(features), self.first)
+
+    def path(self, scores: np.ndarray, first: np.ndarray, last: np.ndarray | None = None) -> list[int]:
+        scores, step = scores.tolist(), self.step.tolist()
+        best, back = [a + b for a, b in zip(first.tolist(), scores[0], strict=True)], []
         for row in scores[1:]:
             ways = [[best[a] + step[a][b] for a in range(3)] for b in range(3)]
             back.append([max(range(3), key=w.__getitem__) for w in ways])
             best = [max(w) + s for w, s in zip(ways, row, strict=True)]
+        if last is not None:
+            best = [a + b for a, b in zip(best, last.tolist(), strict=True)]
         path = [max(range(3), key=best.__getitem__)]
         for choice in reversed(back):
             path.append(choice[path[-1]])
         return path[::-1]
 
     def spans(self, text: str) -> list[tuple[int, int]]:
+        return Decoder(self).spans(text)
+
+
+class Decoder:
+    """The field's Viterbi path over all tokens of a text, without visiting each token in Python.
+
+    A token's score is a sum of table rows of its type, its neighbours' types and the text. Against a path that is
+    outside there, a token within a secret gains at most `most`: its better tag with the best step into it. The end of
+    a secret may always be tagged outside instead, so on the best path each suffix of a secret gains at least 0, with
+    `leave` for the step out that it takes against the one that it saves. Only tokens from which some stretch gains
+    that much (by prefix sums) can be within a secret; each run of them is decoded between outside tokens, and the
+    tokens between the runs are outside on the best path.
+    """
+
+    BLOCK, TYPES, SLACK = 1 << 16, 1 << 17, 1e-3
+
+    def __init__(self, field: Field):
+        self.field, self.types, self.alike = field, {}, {}
+        self.rows, self.kinds = np.empty((1024, 12)), np.empty((1024, 3), np.int8)
+        self.third = self.weight("-3")
+        self.after_key = {d: np.array([self.weight(f"-{d} key mix{m}") for m in range(5)]) for d in (1, 2, 3)}
+        step = field.step - field.step[O, O]
+        self.into, self.leave = step.max(axis=0), np.ptp([0.0, step[B, O], step[I, O]])
+        self.into_first = np.maximum(self.into, field.first - field.first[O])
+
+    def weight(self, *names: str) -> np.ndarray:
+        return self.field.emit[[n for f in names if (n := self.field.names.get(f)) is not None]].sum(axis=0)
+
+    def type_of(self, token: str) -> int:
+        """Row of the token's type: tokens of the same character classes share all features but three."""
+        alike = token.translate(_CLASSES), _HEX_ONLY.fullmatch(token) is not None, token.startswith("AKIA"), is_key(token)
+        k = self.alike.get(alike)
+        if k is None:
+            k = self.alike[alike] = len(self.alike)
+            if k == len(self.rows):
+                self.rows, self.kinds = np.concatenate([self.rows, np.empty_like(self.rows)]), np.concatenate([self.kinds, np.empty_like(self.kinds)])
+            s = shape(token)
+            self.rows[k] = np.concatenate([self.weight(*own_features(token)), self.weight(f"-1 {s}"), self.weight(f"-2 {s}"), self.weight(f"+1 {s}")])
+            self.kinds[k] = 2 * (len(token) >= 12) + any(c.isdigit() for c in token), case_mix(token), is_key(token)
+        self.types[token] = k
+        return k
+
+    def scores(self, tokens: list[str], text_length: int) -> np.ndarray:
+        """Equal to field.scores(token_features(tokens, text_length)), but for rounding."""
+        if len(self.types) > self.TYPES:
+            self.types.clear()
+            self.alike.clear()
+        get = self.types.get
+        ids = np.array([k if (k := get(t)) is not None else self.type_of(t) for t in tokens], np.int64)
+        n, (size, mix, key) = len(ids), self.kinds[ids].T
+        file = text_features(int((size == 3).sum()), text_length)
+        of_text = np.array([self.weight(*(f"{f} long{x >= 2} digit{x % 2 == 1}" for f in file)) for x in range(4)])
+        out = of_text[size]
+        for a in range(0, n, self.BLOCK):
+            b = min(n, a + self.BLOCK)
+            rows = self.rows[ids[a:b]]
+            out[a:b] += rows[:, :3]
+            out[a + 1 : b + 1] += rows[: n - a - 1, 3:6]
+            out[a + 2 : b + 2] += rows[: max(0, n - a - 2), 6:9]
+            before = rows[1:, 9:] if a == 0 else rows[:, 9:]
+            out[max(0, a - 1) : b - 1] += before
+        out[3:] += self.third
+        keys = np.flatnonzero(key)
+        for d in (1, 2, 3):
+            at = keys[keys + d < n] + d
+            out[at] += self.after_key[d][mix[at]]
+        return out
+
+    def tags(self, tokens: list[str], text_length: int) -> Iterator[tuple[int, list[int]]]:
+        """Start and tags of each run of tokens that may be within a secret."""
+        if not tokens:
+            return
+        scores = self.scores(tokens, text_length)
+        gains = scores - scores[:, O:]
+        most = (gains + self.into)[:, :O].max(axis=1)
+        most[0] = (gains[0] + self.into_first)[:O].max()
+        sums = np.concatenate([[0.0], np.cumsum(most)])
+        live = np.maximum.accumulate(sums[:0:-1])[::-1] - sums[:-1] >= -self.leave - self.SLACK
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], live, [False]])))
+        for a, b in edges.reshape(-1, 2).tolist():
+            yield a, self.field.path(scores[a:b], self.field.step[O] if a else self.field.first, self.field.step[:, O] if b < len(tokens) else None)
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        tokens = _TOKEN.findall(text)
         found = []
-        for a, b in candidate_windows(text):
-            at = [(a + m.start(), a + m.end()) for m in _TOKEN.finditer(text[a:b])]
-            tokens = [text[x:y] for x, y in at]
-            tags = self.decode(token_features(tokens, len(text)))
+        for a, tags in self.tags(tokens, len(text)):
             for k, tag in enumerate(tags):
                 if tag == B:
                     end = k
                     while end + 1 < len(tags) and tags[end + 1] == I:
                         end += 1
-                    found.append((at[k][0], at[end][1]))
-        return found
+                    found.append((a + k, a + end))
+        if not found:
+            return []
+        at = [m.span() for m in _TOKEN.finditer(text)]
+        return [(at[x][0], at[y][1]) for x, y in found]
 
 
-def all_spans(text: str, field: Field, kinds: Iterable[int] = (0, 1, 2)) -> tuple[list[Span], list[Span]]:
+def all_spans(text: str, decoder: Decoder, kinds: Iterable[int] = (0, 1, 2)) -> tuple[list[Span], list[Span]]:
     """Base spans, and these with the field's spans that touch none of them."""
     base = base_spans(text, kinds)
-    if not _DIGIT.search(text):
-        return base, base
-    added = [(a, 3, b) for a, b in field.spans(text) if not any(a < y and x < b for x, _, y in base)]
+    added = [(a, 3, b) for a, b in decoder.spans(text) if not any(a < y and x < b for x, _, y in base)]
     return base, sorted(base + added)
 
 
@@ -198,16 +306,21 @@ def train_field(sequences: list[tuple[list[list[str]], list[int]]], rounds: int
     return Field(names, emit, step, first)
 
 
-def tagged_windows(text: str, length: int) -> Iterator[tuple[list[list[str]], list[int]]]:
-    """Token features and tags, by the fixed patterns, of each candidate window."""
+def tagged(text: str, secrets: list[tuple[int, int]], length: int, runs: int | None = None) -> tuple[list[list[str]], list[int]]:
+    at = [m.span() for m in _TOKEN.finditer(text)]
+    owner = [next((n for n, (x, y) in enumerate(secrets) if s < y and x < e), -1) for s, e in at]
+    tags = [O if n < 0 else I if k and owner[k - 1] == n else B for k, n in enumerate(owner)]
+    return token_features([text[x:y] for x, y in at], length, runs), tags
+
+
+def tagged_windows(text: str, length: int, runs: int | None = None) -> Iterator[tuple[list[list[str]], list[int]]]:
+    """Token features and tags, by the fixed patterns, of each candidate window; length and runs are the whole text's."""
     secrets = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST_ASSIGN]
     secrets += [(a, b) for a, k, b in base_spans(text, (1, 2)) if not any(a < y and x < b for x, y in secrets)]
     for a, b in candidate_windows(text):
-        at = [(a + m.start(), a + m.end()) for m in _TOKEN.finditer(text[a:b])]
-        owner = [next((n for n, (x, y) in enumerate(secrets) if s < y and x < e), -1) for s, e in at]
-        tags = [O if n < 0 else I if k and owner[k - 1] == n else B for k, n in enumerate(owner)]
-        if at:
-            yield token_features([text[x:y] for x, y in at], length), tags
+        features, tags = tagged(text[a:b], [(x - a, y - a) for x, y in secrets], length, runs)
+        if tags:
+            yield features, tags
 
 
 def generated_texts(n: int, seed: int = 3) -> list[str]:
@@ -227,21 +340,45 @@ def generated_texts(n: int, seed: int = 3) -> list[str]:
     return out
 
 
+def generated_keywords(n: int, seed: int = 5) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Texts with their secrets: short and digitless keys behind keywords that the fixed patterns lack, and the same
+    keywords among plain words."""
+    r = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(r.choice(letters) for _ in range(r.randint(2, 12)))
+    alphabets = ["0123456789", letters, letters.upper(), letters, letters.upper()]
+    out = []
+    for _ in range(n):
+        key, sign = r.choice([("pwd", " = "), ("pwd", ": "), ("auth", " = "), ("auth", ": "), ("bearer", " "), ("Bearer", " "), ("credential", ": "), ("credentials", " = "), ("private_key", " = ")])
+        parts = alphabets if r.random() < 0.7 else alphabets[1:]  # with digits, and without
+        size = r.choice([8, 9, 10, 11, 12, 16, 20])
+        value = ""
+        while len(shape(value)) < 4:  # a capital word is no key
+            value = "".join(r.choice(parts[k] if k < len(parts) else r.choice(parts)) for k in r.sample(range(size), size))
+        left, right = (" ".join(r.choice([word(), word(), f"{word()}. {word().capitalize()}", f"{word()}. {word().capitalize()}."]) for _ in range(r.randint(1, 8))) for _ in range(2))
+        text = f"{left} {key}{sign}"
+        out.append((f"{text}{value} {right}", [(len(text), len(text) + len(value))]))
+        plain = r.choice([word(), word().capitalize(), f"{word().capitalize()}.", word().upper(), str(r.randint(1, 10**9)), f"{word()}-{r.randint(1, 99)}", "the", f"{word()}."])
+        out.append((f"{left} {key}{r.choice([' ', sign])}{plain} {right}", []))
+    return out
+
+
 def _sample_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [(text[a:b], len(text)) for text in batch["text"].to_pylist() for a, b in candidate_windows(text)[:8]]
-        yield pa.record_batch([pa.array([w for w, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["window", "length"])
+        found = [(text[a:b], len(text), runs) for text in batch["text"].to_pylist() if (windows := candidate_windows(text)[:8]) for runs in [sum(map(is_run, _TOKEN.findall(text)))] for a, b in windows]
+        window, length, runs = zip(*found, strict=True) if found else ([],) * 3
+        yield pa.record_batch([pa.array(window, pa.string()), pa.array(length, pa.int64()), pa.array(runs, pa.int64())], ["window", "length", "runs"])
 
 
 def fit_field(docs: DataFrame, sample_rows: int = 3000, windows: int = 600, generated: int = 100) -> Field:
     """Train on a bounded sample: of about sample_rows texts with a digit, chosen by a hash of the text, the first 8
-    windows each, at most `windows` in all; and `generated` pairs of generated texts."""
+    windows each, at most `windows` in all; and `generated` pairs of generated texts of either sort."""
     there = docs.count()
     dealt = F.pmod(F.xxhash64(F.col("text"), F.lit(23)), F.lit(1 << 30))
     near = docs.where((dealt < int((1 << 30) * min(1.0, 5 * sample_rows / max(1, there)))) & F.col("text").rlike("[0-9]")).select("text")
-    found = near.mapInArrow(_sample_windows, "window string, length long").distinct().orderBy(F.xxhash64("window"), "window", "length").limit(windows).collect()
-    texts = [(r["window"], r["length"]) for r in found] + [(t, len(t)) for t in generated_texts(generated)]
-    return train_field([x for text, length in texts for x in tagged_windows(text, length)])
+    found = near.mapInArrow(_sample_windows, "window string, length long, runs long").distinct().orderBy(F.xxhash64("window"), "window", "length", "runs").limit(windows).collect()
+    texts = [tuple(r) for r in found] + [(t, len(t), None) for t in generated_texts(generated)]
+    return train_field([x for t in texts for x in tagged_windows(*t)] + [tagged(t, secrets, len(t)) for t, secrets in generated_keywords(generated)])
 
 
 def scan_secrets(docs: DataFrame, field: Field) -> DataFrame:
@@ -253,8 +390,9 @@ def scan_secrets(docs: DataFrame, field: Field) -> DataFrame:
     """
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(field)
         for batch in batches:
-            found = [all_spans(text, field, kinds) for text, kinds in _with_kinds(batch["text"])]
+            found = [all_spans(text, decoder, kinds) for text, kinds in _with_kinds(batch["text"])]
             bases = [digest(b) for b, _ in found]
             count = lambda k: pa.array([sum(x[1] == k for x in b) for b, _ in found], pa.int64())  # noqa: B023, E731
             yield pa.record_batch(
@@ -281,8 +419,9 @@ def redact_secrets(docs: DataFrame, field: Field, mark: str = "[SECRET]") -> Dat
     names = docs.columns
 
     def scrub(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(field)
         for batch in batches:
-            texts = [_redacted(text, all_spans(text, field, kinds)[1], mark) for text, kinds in _with_kinds(batch["text"])]
+            texts = [_redacted(text, all_spans(text, decoder, kinds)[1], mark) for text, kinds in _with_kinds(batch["text"])]
             column = pc.if_else(batch["text"].is_valid(), pa.array(texts, pa.string()), None)
             at = names.index("text")
             arrays = [*batch.columns[:at], column.cast(batch.schema.field("text").type), *batch.columns[at + 1 :]]

@@ -112,6 +112,28 @@ def test_field_adds_what_patterns_miss(field):
     assert np.mean(hits[::2]) > 0.9 and np.mean(hits[1::2]) < 0.1  # assignments, plain
 
 
+def test_field_runs_over_all_tokens(spark):
+    """Secrets that no candidate stands near, against a decoding of the whole text as one sequence."""
+    field = secrets.train_field([x for t in secrets.generated_texts(100) for x in secrets.tagged_windows(t, len(t))] + [secrets.tagged(t, s, len(t)) for t, s in secrets.generated_keywords(100)])
+    r = random.Random(4)
+    plain = lambda: " ".join(r.choice(["the", "Bear.", "tokens", "key", "in", "é,", "2024", "x1y2z3", "Auth"]) for _ in range(r.randint(0, 120)))
+    planted = ["pwd = Xk9mQ2vL7p", "Bearer aB3dE5gH7j", "credential: QwErTyUiOpAsDfGhJkLz"]
+    texts = [f"{plain()} {r.choice([p, ''])} {plain()} {q}" for _ in range(20) for p in planted for q in ("", "secret=0123456789abcdef01")] + ["", " ", planted[0][-10:], *planted]
+    texts += [t for t, _ in secrets.generated_keywords(60, seed=77)]
+    tagger = secrets.Decoder(field)
+    for text in texts:
+        at = [m.span() for m in secrets._TOKEN.finditer(text)]
+        features = secrets.token_features([text[a:b] for a, b in at], len(text))
+        tags = field.decode(features) if at else []
+        if at:
+            assert np.allclose(tagger.scores([text[a:b] for a, b in at], len(text)), field.scores(features))
+        ends = [next((j for j in range(k + 1, len(tags)) if tags[j] != secrets.I), len(tags)) - 1 for k in range(len(tags))]
+        assert tagger.spans(text) == [(at[k][0], at[ends[k]][1]) for k, tag in enumerate(tags) if tag == secrets.B]
+    docs = spark.createDataFrame([(k, f"some words, then {p} and more", 0, "x") for k, p in enumerate(planted)], SCHEMA)
+    assert all("field:" in x.spans for x in secrets.scan_secrets(docs, field).collect())
+    assert all("[SECRET]" in x.text for x in secrets.redact_secrets(docs, field).collect())
+
+
 def test_viterbi_is_the_best_path(field):
     tokens = ["the", "token", "=", "a1b2c3d4e5f6a7b8", "end"]
     features = secrets.token_features(tokens, 60)
