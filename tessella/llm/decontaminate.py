@@ -96,6 +96,7 @@ class Benchmark:
 
     ids: list
     words: list[list[int]]
+    grams: list[np.ndarray]  # seeds by first word
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # sorted seeds, item of each, sieve
 
     @classmethod
@@ -103,10 +104,11 @@ class Benchmark:
         data, offsets = text_bytes(rows["text"])
         hashes, first = word_hashes(data, offsets)
         items = [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+        every = [gram_hashes(own, min(seed, len(own))) if len(own) else np.zeros(0, np.uint64) for own in items]
         by_length: dict[int, list] = defaultdict(list)
         for k, own in enumerate(items):
             if len(own):  # an item shorter than a seed is its own seed
-                grams = np.unique(gram_hashes(own, min(seed, len(own))))
+                grams = np.unique(every[k])
                 by_length[min(seed, len(own))].append((grams, np.full(len(grams), k)))
         index = {}
         for n, parts in by_length.items():
@@ -115,7 +117,7 @@ class Benchmark:
             sieve = np.zeros(1 << 20, bool)
             sieve[grams >> np.uint64(44)] = True
             index[n] = grams[order], owners[order], sieve
-        return cls(rows["item_id"].to_pylist(), [x.tolist() for x in items], index)
+        return cls(rows["item_id"].to_pylist(), [x.tolist() for x in items], every, index)
 
     def leaks(self, data: np.ndarray, offsets: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
         """(document, item, coverage, tiles, longest tile) of each pair that reaches the threshold."""
@@ -137,14 +139,20 @@ class Benchmark:
             cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0)) + 1
             for d, i, hits in zip(doc[np.concatenate([[0], cuts])].tolist(), item[np.concatenate([[0], cuts])].tolist(), np.split(word, cuts), strict=True):
                 pattern = self.words[i]
-                if min(len(np.unique(grams[hits])) * n, len(pattern)) < threshold * len(pattern):
-                    continue  # too few seeds to cover enough
+                if coverable(self.grams[i], np.unique(grams[hits]), n) < threshold * len(pattern):
+                    continue  # a tile holds only words of the item that shared seeds cover
                 found = tiles(pattern, _covered(hashes, hits, n), n)
                 coverage = sum(x[2] for x in found) / len(pattern)
                 if coverage >= threshold:
                     yield d, i, coverage, len(found), max(x[2] for x in found)
 
 
+def coverable(own: np.ndarray, shared: np.ndarray, n: int) -> int:
+    """Words of an item that shared seeds cover at all their places; own are its seeds by first word."""
+    at = np.flatnonzero(np.isin(own, shared))
+    return int(np.minimum(np.diff(at), n).sum()) + n if len(at) else 0
+
+
 def _covered(hashes: np.ndarray, hits: np.ndarray, n: int) -> list[int]:
     """The words that seeds cover, with a mark between runs; no match of n words reaches beyond them."""
     out: list[int] = []

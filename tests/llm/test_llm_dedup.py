@@ -195,6 +195,16 @@ def test_leaks(spark):
     assert decontaminate.leaked_items(docs, bench.limit(0)).count() == 0
 
 
+def test_repetitive_items_leak(spark):
+    phrase = "one two three four"
+    items = [" ".join([phrase] * 10), " ".join([phrase] * 3 + [f"w{k}" for k in range(30)])]
+    docs = spark.createDataFrame([(1, f"so {items[0]} then", 0, "p"), (2, f"{phrase} once", 0, "p"), (3, items[1], 0, "p")], SCHEMA)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(x.doc_id, x.item_id): x.coverage for x in decontaminate.leaked_items(docs, bench).collect()}
+    assert found[1, 0] == 1.0 and found[3, 1] == 1.0 and (2, 0) not in found
+    assert {x.doc_id for x in decontaminate.drop_leaks(docs, bench).collect()} == {2}
+
+
 def test_fingerprints(spark):
     texts = corpus(4, 40)
     rows = rows_of(texts) + [(None, "no place", 0, "p")]
