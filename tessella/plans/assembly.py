@@ -57,6 +57,13 @@ def positional_zip(spark, d):
     return joins.zipped(table(spark, d, "documents").where("doc_id < 50").select("doc_id"), table(spark, d, "embeddings").where("vec_id < 50").select("vec_id"), "doc_id", "vec_id")
 
 
+@query("SELECT a.doc_id, b.doc_id AS other FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents) a JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS r FROM documents) b USING (r)")
+def positional_zip_whole(spark, d):
+    """All documents by position with all documents in reverse."""
+    docs = table(spark, d, "documents").select("doc_id")
+    return joins.zipped(docs, docs.select(F.col("doc_id").alias("other"), (-F.col("doc_id")).alias("place")), "doc_id", "place").select("doc_id", "other")
+
+
 @query("""
 SELECT d.doc_id, d.lang, coalesce(o.prompt, a.prompt) AS prompt, o.prompt IS NOT NULL AS is_own FROM documents d
 LEFT JOIN (SELECT doc_id, 'own-' || doc_id AS prompt FROM labels WHERE quality = 1) o USING (doc_id) LEFT JOIN (SELECT lang, 'any-' || min(doc_id) AS prompt FROM documents GROUP BY 1) a USING (lang)""")
@@ -76,6 +83,15 @@ def caption_grid(spark, d):
     return grid.select("variant", "emotion", F.concat(F.format_string("%s voice, %s: ", "variant", "emotion"), F.col("item_id").cast("string")).alias("caption"))
 
 
+@query("""
+SELECT v.variant, e.emotion, replace(replace('{v} voice, {e}: ', '{v}', v.variant), '{e}', e.emotion) || b.item_id AS caption
+FROM (VALUES ('plain'), ('studio')) v(variant), (VALUES ('calm'), ('happy'), ('sad')) e(emotion), benchmark b""")
+def caption_grid_whole(spark, d):
+    v, e = spark.createDataFrame([("plain",), ("studio",)], "variant string"), spark.createDataFrame([("calm",), ("happy",), ("sad",)], "emotion string")
+    grid = joins.every_combination(table(spark, d, "benchmark").select("item_id"), v, e)
+    return grid.select("variant", "emotion", F.concat(F.format_string("%s voice, %s: ", "variant", "emotion"), F.col("item_id").cast("string")).alias("caption"))
+
+
 @query("SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN 's3://raw/' || substr(url, 9) ELSE url END AS path, regexp_extract(url, '([0-9]+)$', 1) AS number FROM pages")
 def path_rewrite(spark, d):
     number = F.regexp_extract("url", "([0-9]+)$", 1)
@@ -147,6 +163,19 @@ def vocabulary_append(spark, d):
     return with_running(fresh, [F.col("piece")], F.ascii("piece")).select("piece", (F.lit(base.count()) + F.col("rn") - 1).alias("id"))
 
 
+@query(r"""
+WITH base AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '')) AS piece FROM benchmark),
+new AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '')) AS piece FROM documents)
+SELECT piece, (SELECT count(*) FROM base) + row_number() OVER (ORDER BY piece) - 1 AS id FROM new WHERE piece NOT IN (SELECT piece FROM base)""")
+def vocabulary_append_whole(spark, d):
+    from ..operators.ordered import with_running
+
+    pieces = lambda df: df.select(F.explode(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")).alias("piece")).distinct()
+    base, new = pieces(table(spark, d, "benchmark")), pieces(table(spark, d, "documents"))
+    fresh = new.join(base, "piece", "left_anti")
+    return with_running(fresh, [F.col("piece")], F.ascii("piece") * 256 + F.ascii(F.substring("piece", 2, 1))).select("piece", (F.lit(base.count()) + F.col("rn") - 1).alias("id"))
+
+
 @query("SELECT l_shipdate, n, n - lag(n) OVER (ORDER BY l_shipdate) AS change FROM (SELECT l_shipdate, count(*) AS n FROM lineitem GROUP BY 1)")
 def consecutive_difference(spark, d):
     days = table(spark, d, "lineitem").groupBy("l_shipdate").agg(F.count("*").alias("n"))  # a row for each day

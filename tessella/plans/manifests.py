@@ -69,6 +69,15 @@ def log_line_scan(spark, d):
     return manifest.training_log(tagged.unionByName(plain))
 
 
+@query("SELECT CASE WHEN event_id % 2 = 0 THEN 'ne' END AS \"set\", event_id AS step, CASE WHEN event_id % 2 = 0 THEN 'flow_loss' ELSE 'kl' END AS metric, value AS reading FROM events")
+def log_line_scan_whole(spark, d):
+    """A line of either sort for all events."""
+    e, tagged = table(spark, d, "events"), F.col("event_id") % 2 == 0
+    at, value = F.col("event_id").cast("string"), F.col("value").cast("string")
+    line = F.when(tagged, F.concat(F.lit("valid[ne] @ step "), at, F.lit(": {'flow_loss': '"), value, F.lit("'}"))).otherwise(F.concat(F.lit("valid @ step "), at, F.lit(": {'kl': "), value, F.lit("}")))
+    return manifest.training_log(e.select(line.alias("value")))
+
+
 @query("SELECT conv_id || '-' || turn AS id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM conversations")
 def transcript_scan(spark, d):
     lines = table(spark, d, "conversations").select(F.concat(F.concat_ws("-", "conv_id", "turn"), F.lit(" "), F.trim(F.regexp_replace("text", "[ \\t\\n\\r]+", " "))).alias("value"))
