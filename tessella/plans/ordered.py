@@ -172,6 +172,19 @@ def nearest_step_lookup(spark, d):
     return joined.groupBy("step").agg(F.min(F.struct(F.abs(F.col("event_id") - F.col("step")).alias("gap"), "event_id")).alias("r")).select("step", F.col("r.event_id").alias("nearest"))
 
 
+@query("""
+WITH steps AS (SELECT unnest([1000.5, 2000.25, 3000.75, 4000.5, 5000.125]) AS step), e AS (SELECT event_id, event_id * 1.7 AS place FROM events)
+SELECT CAST(step AS DOUBLE) AS step, event_id AS nearest FROM (SELECT step, event_id, row_number() OVER (PARTITION BY step ORDER BY abs(place - step), event_id) AS rn FROM steps JOIN e ON abs(place - step) < 200) WHERE rn = 1""")
+def nearest_step_lookup_whole(spark, d):
+    """All events, at places between which the steps fall."""
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") * 1.7).alias("place"))
+    steps = spark.createDataFrame([(s,) for s in (1000.5, 2000.25, 3000.75, 4000.5, 5000.125)], "step double")
+    left = steps.select("step", F.explode(F.sequence(F.floor(F.col("step") / 200) - 1, F.floor(F.col("step") / 200) + 1)).alias("bucket"))
+    gap = F.abs(F.col("place") - F.col("step"))
+    joined = left.join(e.withColumn("bucket", F.floor(F.col("place") / 200)), "bucket").where(gap < 200)
+    return joined.groupBy("step").agg(F.min(F.struct(gap.alias("gap"), "event_id")).alias("r")).select("step", F.col("r.event_id").alias("nearest"))
+
+
 @query("""
 WITH v AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM embeddings WHERE label = 0),
 t AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents)

@@ -313,6 +313,15 @@ def set_operations(spark, d):
     return shared.crossJoin(missing).crossJoin(either)
 
 
+@query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)) AS shared, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS missing, (SELECT count(*) FROM (SELECT source FROM documents UNION SELECT lang FROM documents)) AS either")
+def set_operations_whole(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    shared = docs.select("doc_id").intersect(labels.select("doc_id")).agg(F.count("*").alias("shared"))
+    missing = docs.select("doc_id").exceptAll(labels.select("doc_id")).distinct().agg(F.count("*").alias("missing"))
+    either = docs.select("source").union(docs.select("lang")).distinct().agg(F.count("*").alias("either"))
+    return shared.crossJoin(missing).crossJoin(either)
+
+
 @query(None)
 def dual_key_dedupe_ordered(spark, d):
     rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), "l_orderkey", "l_partkey")
