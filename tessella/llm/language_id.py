@@ -21,6 +21,7 @@ from ._folds import bounded_sample, fold
 from ._text import slices, text_bytes
 
 GRAMS = 4096
+LONG = 200  # bytes; shorter texts have a bound of their own
 UNKNOWN = "und"
 
 _FOLD = np.full(256, 0x20, np.uint8)  # letters and all bytes beyond ASCII stay, other bytes are blank
@@ -75,13 +76,34 @@ def clusters(points: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
+def held_out_cosines(points: np.ndarray, sizes: np.ndarray, centroids: int) -> list[np.ndarray]:
+    """Cosines of a language's short and long texts, each with centroids of the half of the sample that it is not in."""
+    near, odd = np.zeros(len(points)), np.arange(len(points)) % 2 == 1
+    if len(points) > 1:
+        for half in (odd, ~odd):
+            near[half] = (points[half] @ clusters(points[~half], centroids).T).max(axis=1)
+    return [near[(sizes >= 24) & (sizes < LONG)], near[sizes >= LONG]]
+
+
+def bounds(near: list[list[np.ndarray]], share: float, enough: int = 200) -> np.ndarray:
+    """The share quantiles by language and length; a language with fewer than enough texts of a length takes all
+    languages' texts of it. A quantile of n texts counts n / (n + 20) times, as a small sample shows few lows."""
+    out = np.zeros((len(near), 2))
+    for band in range(2):
+        every = np.concatenate([x[band] for x in near])
+        for k, x in enumerate(near):
+            own = x[band] if len(x[band]) >= enough else every
+            out[k, band] = np.quantile(own, share) * len(own) / (len(own) + 20) if len(own) else 0.0
+    return out
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
     idf: np.ndarray
     centroids: np.ndarray  # a row for each centroid
     owner: np.ndarray  # language number of each centroid
-    least: float  # smallest cosine that is not rejected
+    least: np.ndarray  # smallest cosine that is not rejected, a row for each language: of short texts, of long ones
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Language number and cosine of each document's nearest centroid."""
@@ -102,17 +124,17 @@ def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(there.astype(np.int32)), pa.array(total[there])], ["gram", "docs"])
 
 
-def fit_languages(docs: DataFrame, per_language: int = 600, sample_rows: int = 4000, centroids: int = 3, reject_share: float = 0.0) -> LanguageModel:
+def fit_languages(docs: DataFrame, per_language: int = 600, sample_rows: int = 4000, centroids: int = 3, reject_share: float = 0.002) -> LanguageModel:
     """Learn from all rows of docs (text, lang; doc_id only to choose the sample) whose lang and text are not null.
 
     Document frequencies are counted over all of them. The centroids are clustered on a bounded sample of at most
-    about per_language rows of each language and sample_rows in all. The rejection bound is a quarter of the sample's
-    smallest cosine, or of its reject_share quantile, among texts of at least 20 trigrams.
+    about per_language rows of each language and sample_rows in all. The rejection bounds, by language and length, are
+    the reject_share quantiles of the sample's held-out cosines (see bounds).
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
     if not sizes:
-        return LanguageModel([UNKNOWN], np.ones(GRAMS, np.float32), np.zeros((1, GRAMS), np.float32), np.zeros(1, np.int64), 0.0)
+        return LanguageModel([UNKNOWN], np.ones(GRAMS, np.float32), np.zeros((1, GRAMS), np.float32), np.zeros(1, np.int64), np.zeros((1, 2)))
     found = known.select("text").mapInArrow(_frequencies, "gram int, docs long").groupBy("gram").agg(F.sum("docs").alias("docs")).toArrow()
     total = np.zeros(GRAMS + 1)
     total[found["gram"].to_numpy()] = found["docs"].to_numpy()
@@ -120,23 +142,22 @@ def fit_languages(docs: DataFrame, per_language: int = 600, sample_rows: int = 4
     languages = sorted(sizes)
     wanted = max(1, min(per_language, sample_rows // len(languages)))
     chosen = bounded_sample(known, "lang", "doc_id", {v: (wanted, n) for v, n in sizes.items()}).toArrow()
-    centres, owner, near = [], [], []
+    centres, owner, near = [], [], [[np.zeros(0)] * 2 for _ in languages]
     for k, language in enumerate(languages):
         part = chosen.filter(pc.equal(chosen["lang"], language)).sort_by("doc_id").slice(0, 2 * wanted)
         data, offsets = text_bytes(part["text"])
         counts = gram_counts(data, offsets)
-        points = vectors(counts, idf)[counts.sum(axis=1) > 0]
+        there = counts.sum(axis=1) > 0
+        points, sizes_of = vectors(counts, idf)[there], np.diff(offsets)[there]
         if not len(points):
             continue
         own = clusters(points, centroids)
         centres.append(own)
         owner += [k] * len(own)
-        enough = counts[counts.sum(axis=1) > 0].sum(axis=1) >= 20
-        near.append((points[enough] @ own.T).max(axis=1))
-    near = np.concatenate(near) if near else np.zeros(0)
+        near[k] = held_out_cosines(points, sizes_of, centroids)
     if not centres:
-        return LanguageModel(languages, idf, np.zeros((1, GRAMS), np.float32), np.zeros(1, np.int64), 0.0)
-    return LanguageModel(languages, idf, np.concatenate(centres).astype(np.float32), np.array(owner), float(np.quantile(near, reject_share)) / 4 if len(near) else 0.0)
+        return LanguageModel(languages, idf, np.zeros((1, GRAMS), np.float32), np.zeros(1, np.int64), np.zeros((len(languages), 2)))
+    return LanguageModel(languages, idf, np.concatenate(centres).astype(np.float32), np.array(owner), bounds(near, reject_share))
 
 
 def _judged(column: pa.Array, model: LanguageModel) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -151,7 +172,7 @@ def _judged(column: pa.Array, model: LanguageModel) -> Iterator[tuple[int, int,
             letters = np.diff(sums[own]) > 0
             for x in np.flatnonzero(~letters & (np.diff(own) > 0)).tolist():
                 letters[x] = any(map(str.isalpha, bytes(part[own[x] : own[x + 1]]).decode("utf-8", "replace")))
-            rejected = ~letters | ((score < model.least) & (np.diff(own) >= 24))
+            rejected = ~letters | ((score < model.least[language, (np.diff(own) >= LONG).astype(int)]) & (np.diff(own) >= 24))
             yield k, m, np.where(letters, language, len(model.languages)), np.where(letters, score, 0.0), rejected
 
 
@@ -170,8 +191,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score (cosine with the nearest centroid) and rejected, of each document.
 
     A null text, and a text without any letter, is `und` with score 0 and is rejected. A text with letters always
-    gets a learned language; it is rejected where it has at least 20 trigrams and its cosine is below the model's
-    bound. Ties go to the language that sorts first. Rows are judged one by one; an empty table gives an empty
+    gets a learned language; it is rejected where it has at least 24 bytes and its cosine is below the model's bound
+    for that language and length. Ties go to the language that sorts first. Rows are judged one by one; an empty table gives an empty
     result. Other columns are ignored.
     """
 

@@ -1,5 +1,6 @@
 """Quality, language ID, secrets, packing and the pipeline: held-out accuracy, exact recomputation and invariants."""
 
+import base64
 import hashlib
 import itertools
 import os
@@ -60,6 +61,19 @@ def test_languages_on_held_out_rows(spark):
     assert sum(r.rejected for r in rows) < 0.005 * len(rows)
 
 
+def test_junk_and_unlearned_languages_are_rejected(spark):
+    r = random.Random(6)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit_languages(docs)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9)))
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. "
+    junk = [" ".join(word() for _ in range(n)) for n in (10, 50, 200, 1000)] + [base64.b64encode(r.randbytes(n)).decode() for n in (60, 750)] + [finnish, finnish * 5]
+    got = language_id.identify_languages(spark.createDataFrame([(k, t, 0, "x") for k, t in enumerate(junk)], SCHEMA), model).collect()
+    assert {x.doc_id for x in got if x.rejected} == set(range(len(junk)))
+    kept = language_id.keep_identified(docs, model).count()
+    assert kept >= 0.995 * docs.count()
+
+
 def test_languages_of_odd_rows(spark):
     words = {"en": "the cat and the dog were in that house with", "de": "der hund und die katze sind nicht in dem haus"}
     known = [(k, " ".join(random.Random(k).sample(t.split(), 8)), v) for k, (v, t) in enumerate(list(words.items()) * 20)] + [(99, "x y", None), (98, None, "en")]
