@@ -87,6 +87,18 @@ def test_average_linkage_on_clear_clusters(spark):
     assert {x.id: x.cluster for x in got} == {k: k % 3 for k in range(12)}
 
 
+def test_large_groups_cluster_as_a_whole(spark):
+    r = np.random.default_rng(3)
+    for n, d, threshold in ((60, 3, 0.9), (60, 3, 0.3), (80, 8, 0.5), (80, 8, 0.0)):
+        v = r.normal(size=(n, d))
+        v[n // 2 : n // 2 + 10] = v[:10]  # identical vectors
+        v[-1] = 0
+        assert cluster.chain_labels(v, threshold).tolist() == cluster.linkage_labels(v, threshold).tolist()
+    rows = spark.createDataFrame([(k, x.tolist(), 0) for k, x in enumerate(v)], "id long, v array<double>, g int")
+    whole, small = ({x.id: x.cluster for x in cluster.average_linkage(rows, "id", "v", "g", 0.5, m).collect()} for m in (4000, 7))
+    assert whole == small
+
+
 def test_pair_statistics_equal_all_pairs(spark):
     r = np.random.default_rng(1)
     v = r.normal(size=(7, 4))
