@@ -17,13 +17,18 @@ Only counts are produced, never token ids.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from tokenizers import Regex, Tokenizer
+from tokenizers.normalizers import Normalizer
+from tokenizers.pre_tokenizers import Split
 
 from ._text import slices, text_bytes
 
@@ -32,8 +37,7 @@ TABLE_CELLS = 1 << 24
 CACHE_LIMIT = 400_000
 END = 256  # symbol after a pre-token's last byte
 
-#: The tokenizer file's white space, contractions and byte alphabet.
-WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: The tokenizer file's contractions and byte alphabet.
 CONTRACTIONS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
 
 
@@ -44,6 +48,31 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+POINTS = 0x110000
+SURROGATES = range(0xD800, 0xE000)
+
+
+@cache
+def point_classes(patterns: tuple[str, ...]) -> np.ndarray:
+    """Number of the pattern (from 1; 0 for none) that each code point matches, by the Unicode version of the tokenizer
+    library."""
+    runs, own = Split(Regex("|".join(f"{p}+" for p in patterns)), "isolated"), [Split(Regex(p), "removed") for p in patterns]
+    found = np.zeros(POINTS, np.uint8)
+    for low in range(0, POINTS, 4096):
+        block = [c for c in range(low, low + 4096) if c not in SURROGATES]
+        for piece, (a, b) in runs.pre_tokenize_str("".join(map(chr, block))) if block else ():
+            found[block[a] : block[b - 1] + 1] = next((k for k, split in enumerate(own, 1) if not split.pre_tokenize_str(piece[0])), 0)
+    return found
+
+
+@cache
+def newer_points() -> re.Pattern:
+    """Characters that Python's tables do not know; the library's may."""
+    unknown = np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(POINTS)), bool, POINTS)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], unknown, [False]])))
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2).tolist()) + "]")
+
+
 class Splitter:
     """Transducer from character classes to pre-token starts."""
 
@@ -53,8 +82,7 @@ class Splitter:
         tails = sorted({c for x in CONTRACTIONS for c in x[1:]})
         self.classes = 5 + len(tails)
         special = {c: 5 + k for k, c in enumerate(tails)}
-        kinds = np.fromiter((self.NUMBER if k[0] == "N" else self.LETTER if k[0] == "L" else self.OTHER for k in map(unicodedata.category, map(chr, range(0x110000)))), np.uint8, 0x110000)
-        kinds[WHITE] = self.SPACE
+        kinds = np.array([self.OTHER, self.LETTER, self.NUMBER, self.SPACE], np.uint8)[point_classes((r"\p{L}", r"\p{N}", r"\s"))]
         kinds[ord("'")] = self.QUOTE
         for c, k in special.items():
             kinds[ord(c)] = k
@@ -288,6 +316,7 @@ class TokenCounter:
         if spec["model"]["type"] != "BPE" or not spec["model"].get("end_of_word_suffix"):
             raise ValueError("only a BPE with a word-end suffix can be compiled")
         self.special = [x["content"] for x in spec["added_tokens"]]
+        self.path, self.library = path, None
         self.splitter = Splitter()
         self.counter = Counter([tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in spec["model"]["merges"]], spec["model"]["end_of_word_suffix"])
         self.known: dict[str, int] = {}
@@ -321,13 +350,20 @@ class TokenCounter:
         sums = np.concatenate([[0], np.cumsum(np.array(found, np.int64))])
         return np.diff(sums[np.searchsorted(starts, bounds)], prepend=0) + extra
 
-    @staticmethod
-    def normal(text: str) -> str:
+    def normal(self, text: str) -> str:
         if text.isascii():
             return text.lower()
+        if newer_points().search(text):
+            return self.normalizer.normalize_str(text)
         text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower()  # letters are lowered one by one, without the final form
 
+    @property
+    def normalizer(self) -> Normalizer:
+        if self.library is None:
+            self.library = Tokenizer.from_file(self.path).normalizer
+        return self.library
+
 
 _COUNTERS: dict[str, TokenCounter] = {}
 

@@ -55,6 +55,14 @@ def test_counts_equal_the_library(library, counter, texts):
     assert counter.counts(list(texts)).tolist() == library(texts)
 
 
+def test_counts_of_every_code_point(library, counter):
+    """Beside a sign, a letter and a digit; also those that only newer versions of Unicode know."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"¢{c} A{c}1{c}" for c in points[k : k + 16]) for k in range(0, len(points), 16)]
+    for k in range(0, len(texts), 4000):
+        assert counter.counts(texts[k : k + 4000]).tolist() == library(texts[k : k + 4000])
+
+
 def test_counts_of_odd_texts(library, counter):
     r = random.Random(1)
     parts = ["the", "internationalization", "haha", "....", "!!!!!!", "=====", "<|endoftext|>", "<|startoftext|>", "'s", "'re", "'r", "'l", "we'll'd", "ΟΔΟΣ", "İ", "字", "9½Ⅷ", "\x1c", "\u0085"]
