@@ -17,7 +17,6 @@ Only counts are produced, never token ids.
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -66,11 +65,13 @@ def point_classes(patterns: tuple[str, ...]) -> np.ndarray:
 
 
 @cache
-def newer_points() -> re.Pattern:
-    """Characters that Python's tables do not know; the library's may."""
-    unknown = np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(POINTS)), bool, POINTS)
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], unknown, [False]])))
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2).tolist()) + "]")
+def newer_points() -> np.ndarray:
+    """Whether Python's tables lack each code point; the library's may have it."""
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(POINTS)), bool, POINTS)
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 class Splitter:
@@ -150,7 +151,7 @@ class Splitter:
 
     def pretokens(self, text: str) -> tuple[list[str], np.ndarray]:
         """Pre-tokens of a text and where each starts."""
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = code_points(text)
         n = len(points)
         lanes = -(-n // CHUNK)
         kinds = np.full(lanes * CHUNK, self.SPACE, np.uint8)
@@ -330,7 +331,8 @@ class TokenCounter:
                     texts[k] = text = text.replace(token, "\n")
         joined = "\n".join(texts)
         if not joined.isascii():
-            texts = [self.normal(x) for x in texts]
+            newer = newer_points()[code_points(joined)].any()
+            texts = [self.normal(x, newer) for x in texts]
             joined = "\n".join(texts)
         else:
             joined = joined.lower()  # as many characters as before
@@ -350,10 +352,11 @@ class TokenCounter:
         sums = np.concatenate([[0], np.cumsum(np.array(found, np.int64))])
         return np.diff(sums[np.searchsorted(starts, bounds)], prepend=0) + extra
 
-    def normal(self, text: str) -> str:
+    def normal(self, text: str, newer: bool) -> str:
+        """Composed and in lower case; newer: it may hold characters that Python's tables lack."""
         if text.isascii():
             return text.lower()
-        if newer_points().search(text):
+        if newer and newer_points()[code_points(text)].any():
             return self.normalizer.normalize_str(text)
         text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower()  # letters are lowered one by one, without the final form
