@@ -6,7 +6,7 @@ a smaller doc_id.
 Reference shards cannot be broadcast to all documents once they grow with them, so both are routed by content. The
 minimizer of a window, the smallest hash of its GRAM-word runs, depends on the window alone; maximal runs of windows
 with one minimizer are segments, and equal windows always lie in segments of the same minimizer. Segments are first
-told apart by a hash of their content: of equal ones, all but those of the smallest doc_id go as a whole. A
+told apart by their minimizer and a hash of their content, 128 bits together: of equal ones, all but those of the smallest doc_id go as a whole. A
 minimizer with several contents is a reference shard: a suffix automaton of its contents carries the smallest
 doc_id of every substring, and each content is streamed through it for the matching statistics of its windows.
 The contents of one minimizer are split into shards of bounded size; the windows that a shard leaves, less those that
@@ -34,6 +34,7 @@ GRAM = 8
 SHARD_CONTENTS = 100
 SHARD_WORDS = 30_000
 SKETCH_BITS = 22
+SALTS = 16  # a window of many documents is compared in so many parts
 
 
 @dataclass
@@ -314,10 +315,10 @@ def remove_repeats(docs: DataFrame, words: int = 50) -> DataFrame:
     contents = rows.groupBy("minimizer", "content").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"), F.max("windows").alias("windows"))
     parts = F.ceil(F.greatest(F.col("n") / SHARD_CONTENTS, F.col("size") / SHARD_WORDS)).cast("int")
     shards = contents.groupBy("minimizer").agg(F.count("*").alias("n"), F.sum(F.col("windows") + words).alias("size"), F.min("owner").alias("low"), F.max("other").alias("high")).where("low < high")
-    active = contents.join(shards, "minimizer").select("content", "owner", "other", (F.col("n") > 1).alias("mixed"), F.pmod(F.xxhash64("content"), parts).cast("int").alias("part"), (parts > 1).alias("split"))
+    active = contents.join(shards, "minimizer").select("minimizer", "content", "owner", "other", (F.col("n") > 1).alias("mixed"), F.pmod(F.xxhash64("content"), parts).cast("int").alias("part"), (parts > 1).alias("split"))
     active = materialize(active, "active")
 
-    whole = rows.select("doc_id", "content").join(active.where("owner < other").select("content", "owner"), "content").where("doc_id > owner").select("doc_id", "content", F.lit(None).cast("array<int>").alias("taken"))
+    whole = rows.select("doc_id", "minimizer", "content").join(active.where("owner < other").select("minimizer", "content", "owner"), ["minimizer", "content"]).where("doc_id > owner").select("doc_id", "content", F.lit(None).cast("array<int>").alias("taken"))
 
     asked = active.where("mixed").groupBy(F.col("owner").alias("doc_id")).agg(F.collect_set(F.struct("content", "part", "split")).alias("asked"))
     runs = packed_texts(docs).join(asked, "doc_id").mapInArrow(partial(_requested_words, words=words), "doc_id long, minimizer long, content long, part int, split boolean, run binary")
@@ -331,7 +332,9 @@ def remove_repeats(docs: DataFrame, words: int = 50) -> DataFrame:
         cells = np.minimum(cells + np.frombuffer(zstandard.decompress(sketch[0]), np.uint8), 2)
     windows = between.mapInArrow(partial(_window_rows, cells=spark.sparkContext.broadcast(cells)), "doc_id long, content long, at int, hash_a long, hash_b long")
     least = windows.groupBy("hash_a", "hash_b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    more = windows.join(least, ["hash_a", "hash_b"]).where("doc_id > low").groupBy("doc_id", "content").agg(F.collect_set("at").alias("taken"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = windows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    more = salted.join(least, ["hash_a", "hash_b", "salt"]).where("doc_id > low").groupBy("doc_id", "content").agg(F.collect_set("at").alias("taken"))
 
     verdicts = whole.unionByName(some).unionByName(more).groupBy("doc_id").agg(F.collect_list(F.struct("content", "taken")).alias("verdicts"))
     return packed_texts(docs).join(verdicts, "doc_id", "left").mapInArrow(partial(_kept_words, words=words), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
