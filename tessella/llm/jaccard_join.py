@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ PLACES = 3
 CHUNK_SETS = 4000
 CHUNK_SHINGLES = 1_500_000
 BLOCK = 512
+BLOCK_SETS = 512
 
 SetsOf = Callable[[np.ndarray, np.ndarray], list[np.ndarray]]  # from bytes and offsets: sorted distinct hashes
 
@@ -82,6 +84,15 @@ def first_pivots(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
     return s[np.argsort(rank, kind="stable")[:count]]
 
 
+def length_partitions(n: np.ndarray, percent: int) -> np.ndarray:
+    """Partition of each set length. Bounds grow by 100 / percent, so linked sets lie in one partition or in two that
+    are next to each other."""
+    bounds = [1]
+    while bounds[-1] < 1 << 40:
+        bounds.append(bounds[-1] * 100 // max(1, percent) + 1)
+    return np.searchsorted(np.array(bounds), n, "right")
+
+
 def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * common >= percent * (a + b - common)
 
@@ -161,7 +172,8 @@ def _sum_sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.record_batch([pa.array([zstandard.compress(cells.tobytes())], pa.binary())], ["sketch"])
 
 
-def _pivot_rows(batches: Iterable[pa.RecordBatch], sets_of: SetsOf, percent: int, levels) -> Iterator[pa.RecordBatch]:
+def _pivot_rows(batches: Iterable[pa.RecordBatch], sets_of: SetsOf, percent: int, levels, by_length: bool) -> Iterator[pa.RecordBatch]:
+    """A row for each first pivot of each set; by length, one for the set's own partition and one for the next."""
     for batch in batches:
         data, offsets = text_bytes(batch["text"])
         for i, j in slices(offsets):
@@ -170,7 +182,11 @@ def _pivot_rows(batches: Iterable[pa.RecordBatch], sets_of: SetsOf, percent: int
             pivots = [first_pivots(s, levels.value, percent) for s in sets]
             counts = np.fromiter(map(len, pivots), np.int64, len(pivots))
             sizes = np.fromiter(map(len, sets), np.int32, len(sets))
-            yield pa.record_batch([pa.array(np.concatenate(pivots).view(np.int64)), pa.array(np.repeat(ids, counts)), pa.array(np.repeat(sizes, counts))], ["pivot", "set_id", "n"])
+            columns = [np.concatenate(pivots), np.repeat(ids, counts), np.repeat(sizes, counts)]
+            if by_length:
+                part = length_partitions(columns[2], percent).astype(np.uint64)
+                columns = [np.concatenate([mix(columns[0] + part), mix(columns[0] + part + np.uint64(1))]), *(np.tile(c, 2) for c in columns[1:])]
+            yield pa.record_batch([pa.array(columns[0].view(np.int64)), *map(pa.array, columns[1:])], ["pivot", "set_id", "n"])
 
 
 def _shared_pivots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,50 +252,68 @@ def _region_components(batches: Iterable[pa.RecordBatch], sets_of: SetsOf, perce
         yield settle()
 
 
-def _unmet_pairs(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows ordered by pivot. Pairs of different components that can link and met in no chunk."""
+def _cells(places: DataFrame, block_sets: int) -> DataFrame:
+    """The sets of pivots with several components, dealt to cells of two blocks, so that a hot pivot's sets meet in as
+    many tasks. The sets of a pivot's largest component have blocks of their own, which meet only the other blocks."""
+    counts = places.groupBy("pivot", "component").agg(F.count("*").alias("c"))
+    shape = counts.groupBy("pivot").agg(F.sum("c").alias("total"), F.max("c").alias("most"), F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("components")).where("components > 1")
+    blocks_of = lambda c: F.ceil(c / block_sets).cast("int")
+    shape = materialize(shape.select("pivot", "main", blocks_of(F.col("total") - F.col("most")).alias("others"), blocks_of(F.col("most")).alias("mains")), "shape")
+    inside, deal = F.col("component") == F.col("main"), F.xxhash64("set_id", "pivot")
+    dealt = places.join(shape, "pivot").withColumn("block", F.when(inside, F.col("others") + F.pmod(deal, F.col("mains"))).otherwise(F.pmod(deal, F.col("others"))).cast("int"))
+    meets = F.when(inside, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
+    dealt = dealt.withColumn("other", F.explode(meets))
+    return dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("main", "others", "mains", "other")
+
 
-    def pairs(ids: np.ndarray, n: np.ndarray, component: np.ndarray, met: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _unmet_pairs(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows ordered by cell, that is pivot and two blocks of its sets. Pairs of different components that can link, met
+    in no chunk and, where the blocks differ, lie in both."""
+    names = ["pivot", "low", "high", "block", "set_id", "n", "component", "met0", "met1", "met2"]
+
+    def pairs(cross: bool, block: np.ndarray, ids: np.ndarray, n: np.ndarray, component: np.ndarray, *met: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(n, kind="stable")  # partners are next to each other
+        block, ids, n, component = block[order], ids[order], n[order].astype(np.int64), component[order]
+        met = [x[order] for x in met]
         names, number = np.unique(component, return_inverse=True)
-        if len(names) < 2:
-            return
-        largest = np.argmax(np.bincount(number))
-        order = np.argsort(number == largest, kind="stable")  # the largest component's sets only as second ones
-        ids, n, number, met = ids[order], n[order], number[order], met[order]
-        outside = int((number != largest).sum())
-        for i in range(0, outside, BLOCK):
-            for j in range(i, len(ids), BLOCK):
-                a, b = slice(i, min(i + BLOCK, outside)), slice(j, j + BLOCK)
-                ok = number[a, None] != number[None, b]
-                ok &= np.arange(a.start, a.stop)[:, None] < np.arange(j, min(j + BLOCK, len(ids)))[None, :]
-                low, high = np.minimum(n[a, None], n[None, b]), np.maximum(n[a, None], n[None, b])
-                ok &= 100 * low.astype(np.int64) >= percent * high.astype(np.int64)
-                for x in range(met.shape[1]):
-                    for y in range(met.shape[1]):
-                        ok &= met[a, x, None] != met[None, b, y]
+        outside = number != np.argmax(np.bincount(number))  # the largest component's sets only as second ones
+        firsts = np.flatnonzero(outside)
+        least, most = np.searchsorted(n, -(-percent * n // 100), "left"), np.searchsorted(n, 100 * n // percent, "right")
+        for i in range(0, len(firsts), BLOCK):
+            a = firsts[i : i + BLOCK]
+            for j in range(int(least[a[0]]), int(most[a[-1]]), BLOCK):
+                b = np.arange(j, min(j + BLOCK, int(most[a[-1]])))
+                ok = (component[a, None] != component[None, b]) & (~outside[None, b] | (a[:, None] < b[None, :]))
+                ok &= (least[a, None] <= b[None, :]) & (b[None, :] < most[a, None])
+                if cross:
+                    ok &= block[a, None] != block[None, b]
+                for x in met:
+                    for y in met:
+                        ok &= x[a, None] != y[None, b]
                 x, y = np.nonzero(ok)
                 if len(x):
-                    u, v = ids[i + x], ids[j + y]
-                    yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(needed(low[x, y]).astype(np.int32))], ["a", "b", "needed"])
+                    u, v = ids[a[x]], ids[b[y]]
+                    yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(needed(np.minimum(n[a[x]], n[b[y]])).astype(np.int32))], ["a", "b", "needed"])
 
-    region, held = None, []
-    columns = ["pivot", "set_id", "n", "component", "met0", "met1", "met2"]
-    for batch in batches:
-        values = [batch[c].to_numpy(zero_copy_only=False) for c in columns]
-        cuts = np.flatnonzero(np.diff(values[0])) + 1
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
-            if lo == hi:
-                continue
-            part = [v[lo:hi] for v in values]
-            if region is not None and part[0][0] != region:
-                joined = [np.concatenate(x) for x in zip(*held, strict=True)]
-                yield from pairs(joined[1], joined[2], joined[3], np.stack(joined[4:], axis=1))
-                held = []
-            region = part[0][0]
-            held.append(part)
-    if held:
-        joined = [np.concatenate(x) for x in zip(*held, strict=True)]
-        yield from pairs(joined[1], joined[2], joined[3], np.stack(joined[4:], axis=1))
+    held: list[np.ndarray] = []  # rows of the last cell so far
+    for batch in chain(batches, [None]):
+        if batch is None:
+            values, closed = held, True
+        else:
+            values, closed = [batch[c].to_numpy(zero_copy_only=False) for c in names], False
+            if held:
+                values = [np.concatenate(x) for x in zip(held, values, strict=True)]
+        if not values or not len(values[0]):
+            continue
+        cuts = np.flatnonzero((np.diff(values[0]) != 0) | (np.diff(values[1]) != 0) | (np.diff(values[2]) != 0)) + 1
+        starts = np.concatenate([[0], cuts])
+        ends = np.append(cuts, len(values[0]))
+        held = [] if closed else [v[starts[-1] :] for v in values]
+        mixed = np.minimum.reduceat(values[6], starts) != np.maximum.reduceat(values[6], starts)
+        mixed[-1] &= closed
+        for k in np.flatnonzero(mixed).tolist():
+            part = [v[starts[k] : ends[k]] for v in values[3:]]
+            yield from pairs(values[1][starts[k]] != values[2][starts[k]], *part)
 
 
 def _compare_with_hub(batches: Iterable[pa.RecordBatch], sets_of: SetsOf, percent: int) -> Iterator[pa.RecordBatch]:
@@ -301,12 +335,14 @@ def _compare_with_hub(batches: Iterable[pa.RecordBatch], sets_of: SetsOf, percen
             yield pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, chunk_sets: int = CHUNK_SETS, sets_of: SetsOf | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, chunk_sets: int = CHUNK_SETS, sets_of: SetsOf | None = None, block_sets: int = BLOCK_SETS, by_length: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id of each document.
 
     Words are lower-cased (A-Z only). Documents link where 100 * shared >= percent * united shingles of `words` words;
     component_id is the smallest doc_id reachable by links. A document without words, or a null text, links with
-    nothing, not even its equals. sets_of, which finds other sets of 64-bit hashes in UTF-8 texts, may replace shingles. Repeated rows are rows of their own. A row without doc_id gets the component of the
+    nothing, not even its equals. sets_of, which finds other sets of 64-bit hashes in UTF-8 texts, may replace shingles;
+    by_length keeps regions apart by set length (see length_partitions). Regions are cut into chunks of chunk_sets, and
+    pairs that met in none are sought between blocks of block_sets; neither changes the result. Repeated rows are rows of their own. A row without doc_id gets the component of the
     rows it links with, or none. An empty table gives an empty result. Only doc_id and text are read.
     """
     spark = docs.sparkSession
@@ -319,7 +355,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, chunk
     sets = found.where("sketch is null").select("doc_id", "n", "set_id")
     owners = sets.where("n > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
 
-    rows = docs.select("text").where(F.length("text") > 0).mapInArrow(partial(_pivot_rows, sets_of=sets_of, percent=percent, levels=levels), "pivot long, set_id long, n int")
+    rows = docs.select("text").where(F.length("text") > 0).mapInArrow(partial(_pivot_rows, sets_of=sets_of, percent=percent, levels=levels, by_length=by_length), "pivot long, set_id long, n int")
     rows = rows.repartition(shuffle_partitions(spark), "pivot").sortWithinPartitions("pivot", "set_id")
     regions = materialize(rows.mapInArrow(_shared_pivots, "pivot long, set_id long, n int"), "regions")
 
@@ -338,7 +374,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, chunk
 
     places = met.groupBy("set_id").agg(F.collect_set(F.xxhash64("pivot", "chunk")).alias("met"))
     known = places.join(stars.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", F.coalesce("root", "set_id").alias("component"), *(F.coalesce(F.try_element_at("met", F.lit(x + 1)), F.xxhash64("set_id", F.lit(x))).alias(f"met{x}") for x in range(PLACES)))
-    several = regions.drop("size").join(known, "set_id").repartition(shuffle_partitions(spark), "pivot").sortWithinPartitions("pivot")
+    several = _cells(materialize(regions.drop("size").join(known, "set_id"), "places"), block_sets)
+    several = several.repartition(shuffle_partitions(spark), "pivot", "low", "high").sortWithinPartitions("pivot", "low", "high")
     pairs = several.mapInArrow(partial(_unmet_pairs, percent=percent), "a long, b long, needed int").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("needed").alias("needed")).where("shared >= needed")
     pairs = materialize(pairs.select("a", "b"), "unmet")
     asked = pairs.select(F.col("a").alias("hub"), F.col("b").alias("set_id")).unionByName(pairs.select(F.col("a").alias("hub"), F.col("a").alias("set_id")).distinct())
@@ -356,9 +393,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, chunk
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Of each group of linked documents the row with the smallest doc_id, with all columns.
 
-    Rows of one doc_id count as one document, and one of them stays; rows without doc_id all stay.
+    Rows of one doc_id count as one document; of several that differ, the one whose columns hash lowest stays. Rows
+    without doc_id all stay.
     """
     found = jaccard_components(docs, words, percent).where("doc_id is not null")
     stay = found.groupBy("doc_id").agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("stays")).where("stays").select("doc_id")
-    named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    own, tie = F.col("row.doc_id"), F.xxhash64(F.to_json("row", {"ignoreNullFields": "false"}))
+    rows = docs.select(F.struct("*").alias("row")).where(own.isNotNull()).select("row", own.alias("doc_id"), tie.alias("tie"))
+    named = rows.join(stay, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("row", "tie").alias("row")).select("row.*")
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -112,10 +112,10 @@ def brute_components(rows, k, percent):
     return {d: (len(sets[d]), find(d)) for d in docs}
 
 
-@pytest.mark.parametrize("k,percent,chunk", [(4, 85, 4000), (5, 80, 4000), (2, 60, 4000), (2, 60, 3)])
-def test_jaccard_components(spark, k, percent, chunk):  # chunks of 3: regions are cut, pairs that met in none follow
+@pytest.mark.parametrize("k,percent,chunk,block", [(4, 85, 4000, 512), (5, 80, 4000, 512), (2, 60, 4000, 512), (2, 60, 3, 512), (2, 60, 1, 2), (2, 60, 2, 1)])
+def test_jaccard_components(spark, k, percent, chunk, block):  # small chunks: regions are cut, pairs that met in none follow, block by block
     rows = rows_of(corpus(k + percent))
-    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA), k, percent, chunk).collect()
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA), k, percent, chunk, block_sets=block).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components([x[:2] for x in rows], k, percent)
 
 
@@ -128,6 +128,30 @@ def test_jaccard_on_odd_tables(spark):
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 9]
 
 
+def test_of_rows_of_one_id_always_the_same_stays(spark):
+    rows = [(1, "one two three four five six", k % 3, None if k % 2 else "p") for k in range(12)]
+    kept = {tuple(jaccard_join.keep_one_of_each(spark.createDataFrame(random.Random(s).sample(rows, 12), SCHEMA)).first()) for s in range(4)}
+    assert len(kept) == 1 and kept <= set(rows)
+
+
+def test_length_partitions_are_next_to_each_other():
+    n = np.arange(1, 3000)
+    part = jaccard_join.length_partitions(n, 80)
+    for a in n[::7]:
+        partners = n[(100 * np.minimum(a, n) >= 80 * np.maximum(a, n))]
+        assert np.abs(part[partners - 1] - part[a - 1]).max() <= 1
+
+
+def test_hashes_of_long_texts_take_blocks(monkeypatch):
+    from tessella.llm import _text
+
+    text = ("ab cde " * 50 + "x" * 90 + " y").encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    whole = _text.find_words(data, offsets).hashes()
+    monkeypatch.setattr(_text, "SLICE_BYTES", 16)
+    assert _text.find_words(data, offsets).hashes().tolist() == whole.tolist()
+
+
 def test_connected_components(spark):
     r = random.Random(5)
     edges = [(r.randint(0, 80), r.randint(0, 80)) for _ in range(60)] + [(k, k + 1) for k in range(100, 130)]
@@ -231,6 +255,32 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprint_edits(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def brute_signatures(text):
+    """Anchors and the next two content words of each, word by word."""
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.encode())
+    words = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    common = {w.encode() for w in fingerprints.COMMON.split()}
+    found = set()
+    for k, w in enumerate(words):
+        if w in common or not any(x in common for x in words[max(0, k - fingerprints.GAP) : k]):
+            content = [x for x in words[k + 1 :] if x not in common]
+            found.add((w, *(content + [None, None])[:2]))
+    return found
+
+
+def test_signatures_equal_brute_force():
+    r = random.Random(21)
+    v = vocabulary(r, 60)
+    texts = [t or "" for t in corpus(5, 30)] + [" ".join(r.choice([*v, "the", "of", "Und", "être"]) for _ in range(r.randint(0, 120))) for _ in range(60)]
+    found = fingerprints.signature_sets([t.encode() for t in texts])
+    want = [brute_signatures(t) for t in texts]
+    assert fingerprints.sizes(found, len(texts)).tolist() == [len(x) for x in want]
+    own = np.split(found & np.uint64(0xFFFFFFFF), np.cumsum([len(x) for x in want])[:-1])
+    for a, x in zip(own, want):
+        for b, y in zip(own, want):
+            assert len(np.intersect1d(a, b)) == len(x & y)
+
+
 def test_signatures_are_local():
     r = random.Random(2)
     v = vocabulary(r)
