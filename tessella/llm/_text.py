@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+KEPT_POWERS = 1 << 21  # entries of the power tables that are kept between calls
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_VALUES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -29,12 +30,16 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    tables = []
+    for base in (_BASE, _INVERSE):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        tables.append(np.cumprod(steps, dtype=np.uint64))
+    if n <= KEPT_POWERS:
+        _powers[:] = tables
+    return tables[0], tables[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -91,15 +96,20 @@ class Words:
 
     def hashes(self, fold: np.ndarray | None = None) -> np.ndarray:
         """64-bit hash of each word, after mapping its bytes by fold."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        n = len(self.data)
-        power, inverse = _power_tables(n + 1)
         values = _BYTE_VALUES if fold is None else _BYTE_VALUES[fold]
-        sums = np.empty(n + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(values[self.data] * power[:n], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * inverse[self.start])
+        out, i = np.empty(len(self.start), np.uint64), 0
+        while i < len(out):  # by runs of words of about SLICE_BYTES, so that a long text takes no more
+            low = int(self.start[i])
+            j = max(i + 1, int(np.searchsorted(self.end, low + SLICE_BYTES, "right")))
+            start, end = self.start[i:j] - low, self.end[i:j] - low
+            n = int(end[-1])
+            power, inverse = _power_tables(n + 1)
+            sums = np.empty(n + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(values[self.data[low : low + n]] * power[:n], out=sums[1:])
+            out[i:j] = mix((sums[end] - sums[start]) * inverse[start])
+            i = j
+        return out
 
 
 def find_words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> Words:

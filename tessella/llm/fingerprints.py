@@ -114,11 +114,12 @@ def spot_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_signatures and class_id (the smallest doc_id reachable by links) of each document.
 
-    Documents link where the Jaccard of their signature sets is percent / 100 or more. Only sets whose lengths allow
-    this are compared: the join's windows on set sizes prune the rest, and no pairs are formed within a class. Nulls,
-    empty texts, repeated rows and empty tables are handled as in jaccard_components.
+    Documents link where the Jaccard of their signature sets is percent / 100 or more. Sets are partitioned by length,
+    so that linked ones lie in one partition or in neighbours, and meet where they share a signature there; what the
+    lengths or the shared signatures cannot raise to the threshold is pruned before sets are compared. Nulls, empty
+    texts, repeated rows and empty tables are handled as in jaccard_components.
     """
-    found = jaccard_components(docs, percent=percent, sets_of=spot_sets)
+    found = jaccard_components(docs, percent=percent, sets_of=spot_sets, by_length=True)
     return found.select("doc_id", F.col("n_shingles").alias("n_signatures"), F.col("component_id").alias("class_id"))
 
 
