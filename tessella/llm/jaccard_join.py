@@ -11,8 +11,10 @@ Regions join recursively:
 1. pivots with one set are dropped, and sets with fewer shared pivots than any link needs; a set's largest PLACES
    regions get its whole text. There sets are ordered by their
    distance to a pivot set, and blocks of them are compared exactly where the triangle inequality leaves a window.
-   Regions beyond a fixed size are cut into chunks.
-2. pairs that met in no chunk, are in different components so far, and share enough pivots are compared exactly.
+   Regions beyond a fixed size are dealt to chunks.
+2. a region with several components is dealt anew to cells of two blocks of its sets. Pairs that met in no chunk, are
+   in different components so far, and share enough pivots are compared exactly; a cell with many such pairs joins
+   recursively instead, as a region of its own, so that no pairs are formed in it.
 
 Equal sets are joined as one. The result has components, not pairs.
 """
@@ -36,10 +38,13 @@ from .components import connected_components
 
 SKETCH_BITS = 18
 PLACES = 3
-CHUNK_SETS = 4000
+CHUNK_SETS = 500
 CHUNK_SHINGLES = 1_500_000
 BLOCK = 512
 BLOCK_SETS = 512
+BLOCK_SHINGLES = 400_000
+SMALL = 16  # sets of a cell, up to which cells of one size are gone through together
+DENSE = 8  # pairs for each set of a cell, beyond which its texts are sent there instead of pairs
 
 SetsOf = Callable[[np.ndarray, np.ndarray], list[np.ndarray]]  # from bytes and offsets: sorted distinct hashes
 
@@ -222,27 +227,31 @@ def _read_sets(blobs: list[bytes], sets_of: SetsOf) -> tuple[list[np.ndarray], n
     return sets, set_ids(sets)
 
 
-def _region_components(batches: Iterable[pa.RecordBatch], sets_of: SetsOf, percent: int, chunk_sets: int) -> Iterator[pa.RecordBatch]:
-    """Rows ordered by pivot, and within it by a hash of set and pivot: the chunks of a large region mix its sets anew in
-    each region, so that few components are left between chunks."""
+REGION_RESULT = "set_id long, root long, pivot long, part int, chunk int"
+
+
+def _region_components(batches: Iterable[pa.RecordBatch], sets_of: SetsOf, percent: int, chunk_sets: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows ordered by pivot, part and set. Without chunk_sets all sets of a part are compared. Large regions come in parts, dealt by a hash of set and pivot, so that each
+    region mixes its sets anew and few components are left between parts; a part too large is cut into chunks."""
     region, chunk, held, ids, shingles = None, 0, [], [], 0
 
     def settle() -> pa.RecordBatch:
         root = block_components(held, percent)
         n = len(ids)
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.array([ids[r] for r in root.tolist()], pa.int64()), pa.array([region] * n, pa.int64()), pa.array([chunk] * n, pa.int32())], ["set_id", "root", "pivot", "chunk"])
+        return pa.record_batch([pa.array(ids, pa.int64()), pa.array([ids[r] for r in root.tolist()], pa.int64()), pa.array([region[0]] * n, pa.int64()), pa.array([region[1]] * n, pa.int32()), pa.array([chunk] * n, pa.int32())], ["set_id", "root", "pivot", "part", "chunk"])
 
     for batch in batches:
         for i, j, blobs in blocks(batch["packed"]):
             sets, found = _read_sets(blobs, sets_of)
-            for s, is_id, pivot, set_id in zip(sets, found.tolist(), batch["pivot"][i:j].to_pylist(), batch["set_id"][i:j].to_pylist(), strict=True):
+            places = zip(batch["pivot"][i:j].to_pylist(), batch["part"][i:j].to_pylist(), strict=True)
+            for s, is_id, place, set_id in zip(sets, found.tolist(), places, batch["set_id"][i:j].to_pylist(), strict=True):
                 if is_id != set_id:
                     continue  # another row of the same doc_id
-                if pivot != region or len(ids) >= chunk_sets or shingles + len(s) > CHUNK_SHINGLES:
+                if place != region or chunk_sets and (len(ids) >= 2 * chunk_sets or shingles + len(s) > CHUNK_SHINGLES):
                     if ids:
                         yield settle()
-                    chunk = chunk + 1 if pivot == region else 0
-                    region, held, ids, shingles = pivot, [], [], 0
+                    chunk = chunk + 1 if place == region else 0
+                    region, held, ids, shingles = place, [], [], 0
                 if ids and ids[-1] == set_id:
                     continue
                 held.append(s)
@@ -255,10 +264,11 @@ def _region_components(batches: Iterable[pa.RecordBatch], sets_of: SetsOf, perce
 def _cells(places: DataFrame, block_sets: int) -> DataFrame:
     """The sets of pivots with several components, dealt to cells of two blocks, so that a hot pivot's sets meet in as
     many tasks. The sets of a pivot's largest component have blocks of their own, which meet only the other blocks."""
-    counts = places.groupBy("pivot", "component").agg(F.count("*").alias("c"))
-    shape = counts.groupBy("pivot").agg(F.sum("c").alias("total"), F.max("c").alias("most"), F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("components")).where("components > 1")
-    blocks_of = lambda c: F.ceil(c / block_sets).cast("int")
-    shape = materialize(shape.select("pivot", "main", blocks_of(F.col("total") - F.col("most")).alias("others"), blocks_of(F.col("most")).alias("mains")), "shape")
+    counts = places.groupBy("pivot", "component").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    shape = counts.groupBy("pivot").agg(F.sum("c").alias("c"), F.sum("w").alias("w"), F.max(F.struct("c", "w", "component")).alias("main"), F.count("*").alias("components")).where("components > 1")
+    blocks_of = lambda c, w: F.ceil(F.greatest(c / block_sets, w / BLOCK_SHINGLES)).cast("int")
+    others = blocks_of(F.col("c") - F.col("main.c"), F.col("w") - F.col("main.w"))
+    shape = materialize(shape.select("pivot", F.col("main.component").alias("main"), others.alias("others"), blocks_of(F.col("main.c"), F.col("main.w")).alias("mains")), "shape")
     inside, deal = F.col("component") == F.col("main"), F.xxhash64("set_id", "pivot")
     dealt = places.join(shape, "pivot").withColumn("block", F.when(inside, F.col("others") + F.pmod(deal, F.col("mains"))).otherwise(F.pmod(deal, F.col("others"))).cast("int"))
     meets = F.when(inside, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
@@ -266,34 +276,58 @@ def _cells(places: DataFrame, block_sets: int) -> DataFrame:
     return dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("main", "others", "mains", "other")
 
 
-def _unmet_pairs(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+PAIR_NAMES = ["a", "b", "needed", "cell"]
+
+
+def _unmet_pairs(batches: Iterable[pa.RecordBatch], percent: int, small: int, most: int) -> Iterator[pa.RecordBatch]:
     """Rows ordered by cell, that is pivot and two blocks of its sets. Pairs of different components that can link, met
-    in no chunk and, where the blocks differ, lie in both."""
+    in no chunk and, where the blocks differ, lie in both. A cell with many of them gives its sets instead, without b."""
     names = ["pivot", "low", "high", "block", "set_id", "n", "component", "met0", "met1", "met2"]
 
-    def pairs(cross: bool, block: np.ndarray, ids: np.ndarray, n: np.ndarray, component: np.ndarray, *met: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(pivot: np.int64, low: np.int32, high: np.int32, block: np.ndarray, ids: np.ndarray, n: np.ndarray, component: np.ndarray, *met: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(n, kind="stable")  # partners are next to each other
         block, ids, n, component = block[order], ids[order], n[order].astype(np.int64), component[order]
         met = [x[order] for x in met]
         names, number = np.unique(component, return_inverse=True)
         outside = number != np.argmax(np.bincount(number))  # the largest component's sets only as second ones
-        firsts = np.flatnonzero(outside)
-        least, most = np.searchsorted(n, -(-percent * n // 100), "left"), np.searchsorted(n, 100 * n // percent, "right")
+        firsts, found = np.flatnonzero(outside), []
+        first, last = np.searchsorted(n, -(-percent * n // 100), "left"), np.searchsorted(n, 100 * n // percent, "right")
         for i in range(0, len(firsts), BLOCK):
             a = firsts[i : i + BLOCK]
-            for j in range(int(least[a[0]]), int(most[a[-1]]), BLOCK):
-                b = np.arange(j, min(j + BLOCK, int(most[a[-1]])))
+            for j in range(int(first[a[0]]), int(last[a[-1]]), BLOCK):
+                b = np.arange(j, min(j + BLOCK, int(last[a[-1]])))
                 ok = (component[a, None] != component[None, b]) & (~outside[None, b] | (a[:, None] < b[None, :]))
-                ok &= (least[a, None] <= b[None, :]) & (b[None, :] < most[a, None])
-                if cross:
+                ok &= (first[a, None] <= b[None, :]) & (b[None, :] < last[a, None])
+                if low != high:
                     ok &= block[a, None] != block[None, b]
                 for x in met:
                     for y in met:
                         ok &= x[a, None] != y[None, b]
                 x, y = np.nonzero(ok)
-                if len(x):
-                    u, v = ids[a[x]], ids[b[y]]
-                    yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(needed(np.minimum(n[a[x]], n[b[y]])).astype(np.int32))], ["a", "b", "needed"])
+                found.append((a[x], b[y]))
+        x, y = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (firsts[:0],) * 2
+        if len(x) > most * len(ids):
+            cell = mix(np.array([pivot]).view(np.uint64) + np.uint64(low) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(high) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
+            members = np.union1d(x, y)
+            yield pa.record_batch([pa.array(ids[members]), pa.nulls(len(members), pa.int64()), pa.nulls(len(members), pa.int32()), pa.array(np.repeat(cell, len(members)))], PAIR_NAMES)
+        elif len(x):
+            yield linkable(ids[x], ids[y], np.minimum(n[x], n[y]))
+
+    def linkable(u: np.ndarray, v: np.ndarray, smaller: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(needed(smaller).astype(np.int32)), pa.nulls(len(u), pa.int64())], PAIR_NAMES)
+
+    def small_cells(starts: np.ndarray, size: int, values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The same for all cells of one size together."""
+        for i in range(size):
+            for j in range(i + 1, size):
+                a, b = starts + i, starts + j
+                low, high = (f(values[5][a], values[5][b]).astype(np.int64) for f in (np.minimum, np.maximum))
+                ok = (values[6][a] != values[6][b]) & (100 * low >= percent * high) & ((values[1][a] == values[2][a]) | (values[3][a] != values[3][b]))
+                for x in values[7:]:
+                    for y in values[7:]:
+                        ok &= x[a] != y[b]
+                if ok.any():
+                    yield linkable(values[4][a[ok]], values[4][b[ok]], low[ok])
 
     held: list[np.ndarray] = []  # rows of the last cell so far
     for batch in chain(batches, [None]):
@@ -311,9 +345,12 @@ def _unmet_pairs(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa
         held = [] if closed else [v[starts[-1] :] for v in values]
         mixed = np.minimum.reduceat(values[6], starts) != np.maximum.reduceat(values[6], starts)
         mixed[-1] &= closed
-        for k in np.flatnonzero(mixed).tolist():
+        sizes = np.where(mixed, ends - starts, 0)
+        for size in np.unique(sizes[(sizes > 0) & (sizes <= small)]).tolist():
+            yield from small_cells(starts[sizes == size], size, values)
+        for k in np.flatnonzero(sizes > small).tolist():
             part = [v[starts[k] : ends[k]] for v in values[3:]]
-            yield from pairs(values[1][starts[k]] != values[2][starts[k]], *part)
+            yield from pairs(*(v[starts[k]] for v in values[:3]), *part)
 
 
 def _compare_with_hub(batches: Iterable[pa.RecordBatch], sets_of: SetsOf, percent: int) -> Iterator[pa.RecordBatch]:
@@ -365,24 +402,30 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, chunk
     sizes = regions.groupBy("pivot").agg(F.count("*").alias("size")).where("size > 1")
     regions = materialize(regions.join(sizes, "pivot").select("pivot", "set_id", "n", "size"), "regions")
     chosen = regions.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("size"), "pivot"))).alias("pivots"))
-    chosen = chosen.select("set_id", F.slice("pivots.pivot", 1, PLACES).alias("pivots")).join(owners, "set_id")
+    chosen = chosen.select("set_id", F.slice("pivots", 1, PLACES).alias("pivots")).join(owners, "set_id")
     texts = materialize(packed_texts(docs).join(chosen, "doc_id").select("set_id", "pivots", "packed"), "region-texts")
 
-    placed = texts.select("set_id", F.explode("pivots").alias("pivot"), "packed").repartition(shuffle_partitions(spark), "pivot").sortWithinPartitions("pivot", F.xxhash64("set_id", "pivot"), "set_id")
-    met = materialize(placed.mapInArrow(partial(_region_components, sets_of=sets_of, percent=percent, chunk_sets=chunk_sets), "set_id long, root long, pivot long, chunk int"), "met")
+    placed = texts.select("set_id", F.explode("pivots").alias("at"), "packed").select("set_id", F.col("at.pivot").alias("pivot"), F.ceil(-F.col("at.size") / chunk_sets).cast("int").alias("parts"), "packed")
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("set_id", "pivot"), F.col("parts")).cast("int")).drop("parts")
+    placed = placed.repartition(shuffle_partitions(spark), "pivot", "part").sortWithinPartitions("pivot", "part", "set_id")
+    met = materialize(placed.mapInArrow(partial(_region_components, sets_of=sets_of, percent=percent, chunk_sets=chunk_sets), REGION_RESULT), "met")
     stars = connected_components(met.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
 
-    places = met.groupBy("set_id").agg(F.collect_set(F.xxhash64("pivot", "chunk")).alias("met"))
+    places = met.groupBy("set_id").agg(F.collect_set(F.xxhash64("pivot", "part", "chunk")).alias("met"))
     known = places.join(stars.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", F.coalesce("root", "set_id").alias("component"), *(F.coalesce(F.try_element_at("met", F.lit(x + 1)), F.xxhash64("set_id", F.lit(x))).alias(f"met{x}") for x in range(PLACES)))
     several = _cells(materialize(regions.drop("size").join(known, "set_id"), "places"), block_sets)
     several = several.repartition(shuffle_partitions(spark), "pivot", "low", "high").sortWithinPartitions("pivot", "low", "high")
-    pairs = several.mapInArrow(partial(_unmet_pairs, percent=percent), "a long, b long, needed int").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("needed").alias("needed")).where("shared >= needed")
-    pairs = materialize(pairs.select("a", "b"), "unmet")
+    unmet = materialize(several.mapInArrow(partial(_unmet_pairs, percent=percent, small=SMALL, most=DENSE), "a long, b long, needed int, cell long"), "unmet")
+    pairs = unmet.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("needed").alias("needed")).where("shared >= needed")
+    pairs = materialize(pairs.select("a", "b"), "pairs")
+    dense = unmet.where("b is null").select(F.col("a").alias("set_id"), F.col("cell").alias("pivot"), F.lit(0).alias("part")).join(texts.select("set_id", "packed"), "set_id")
+    dense = dense.repartition(shuffle_partitions(spark), "pivot").sortWithinPartitions("pivot", "set_id")
+    within = dense.mapInArrow(partial(_region_components, sets_of=sets_of, percent=percent, chunk_sets=None), REGION_RESULT).select(F.col("set_id").alias("a"), F.col("root").alias("b"))
     asked = pairs.select(F.col("a").alias("hub"), F.col("b").alias("set_id")).unionByName(pairs.select(F.col("a").alias("hub"), F.col("a").alias("set_id")).distinct())
     beside = asked.join(texts.select("set_id", "packed"), "set_id").withColumn("other", (F.col("hub") != F.col("set_id")).cast("int"))
     beside = beside.repartition(shuffle_partitions(spark), "hub").sortWithinPartitions("hub", "other", "set_id").select("hub", "set_id", "packed")
     more = beside.mapInArrow(partial(_compare_with_hub, sets_of=sets_of, percent=percent), "a long, b long")
-    graph = connected_components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    graph = connected_components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more).unionByName(within))
 
     labelled = owners.join(graph.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))

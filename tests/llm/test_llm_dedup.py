@@ -128,6 +128,26 @@ def test_jaccard_on_odd_tables(spark):
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 9]
 
 
+def test_dense_cells_join_as_regions(spark, monkeypatch):
+    """Many edits of one text that hardly link with each other, in regions of several chunks and cells."""
+    for name in ("SMALL", "DENSE"):
+        monkeypatch.setattr(jaccard_join, name, 0)
+    r = random.Random(31)
+    v = vocabulary(r)
+    base = [r.choice(v) for _ in range(60)]
+    texts = []
+    for _ in range(80):
+        w = list(base)
+        for _ in range(r.randint(1, 3)):
+            w[r.randrange(60)] = r.choice(v)
+        texts.append(" ".join(w))
+    rows = rows_of(texts)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA), 4, 85, 10, block_sets=10).collect()
+    want = brute_components([x[:2] for x in rows], 4, 85)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
+    assert 1 < len({c for _, c in want.values()}) < 80
+
+
 def test_of_rows_of_one_id_always_the_same_stays(spark):
     rows = [(1, "one two three four five six", k % 3, None if k % 2 else "p") for k in range(12)]
     kept = {tuple(jaccard_join.keep_one_of_each(spark.createDataFrame(random.Random(s).sample(rows, 12), SCHEMA)).first()) for s in range(4)}
