@@ -26,13 +26,35 @@ def test_number_kinds_agree(spark):
     assert {r.t: r.k for r in rows} == {t: numbers.number_kind_of(t) for t in tokens}
 
 
-def test_normalisers():
-    assert normalize.recognition_text("Call 9841234567 — OK?", "en") == "call nine eight four one two three four five six seven - ok?"
-    assert normalize.recognition_text("२१ जना", "ne-NP") == "एक्काइस जना"
-    assert normalize.synthesis_text("ट्याक्सी (Taxi) 45 रुपैयाँ ADB F1Soft") == "ट्याक्सी पैँतालिस रुपैयाँ ए डी बी एफ वान सफ्ट"
-    assert normalize.synthesis_text("COVID-19") == "कोभिड उन्नाइस"
-    once = normalize.synthesis_text("CG Group को 3.5% छुट", keep_latin=False)
-    assert normalize.synthesis_text(once) == once
+def test_recognition_normaliser(spark):
+    rows = spark.createDataFrame([("Call 9841234567 — OK?", "en"), ("२१ जना", "ne-NP"), ("e\u0301te\u00ad 25…", "en"), (None, "en")], "t string, lang string")
+    got = [r.a for r in rows.select(normalize.asr_normalized(F.col("t"), F.col("lang")).alias("a")).collect()]
+    assert got == ["call nine eight four one two three four five six seven - ok?", "एक्काइस जना", "\u00e9te twenty five", None]
+    assert rows.limit(1).select(normalize.asr_normalized(F.col("t"), F.col("lang"), "a-z' ").alias("a")).first().a.endswith("seven ok")
+
+
+GOLDEN = [
+    ("ट्याक्सी (Taxi) 45 रुपैयाँ ADB F1Soft", "ट्याक्सी पैँतालिस रुपैयाँ ए डी बी एफ वान सफ्ट", "ट्याक्सी पैँतालिस रुपैयाँ ADB एफ वान सफ्ट"),
+    ("COVID-19", "कोभिड उन्नाइस", "COVID उन्नाइस"),
+    ("COVID19", "कोभिड उन्नाइस", "कोभिड उन्नाइस"),
+    ("Big Mart, wai-wai", "बिग मार्ट, वाइ वाइ", "Big Mart, wai wai"),
+    ("5% @ 3.05 / १२.५", "पाँच प्रतिशत एट तीन दशमलव शून्य पाँच बाह्र दशमलव पाँच", "पाँच प्रतिशत एट तीन दशमलव शून्य पाँच बाह्र दशमलव पाँच"),
+    ("9841234 XYZ123 Ram", "नौ आठ चार एक दुई तीन चार एक्स वाई जेड एक सय तेइस रम", "नौ आठ चार एक दुई तीन चार एक्स वाई जेड एक सय तेइस Ram"),
+    ("chhaang schools iPhone", "छाङ्ग स्कुल्स इफोने", "chhaang schools iPhone"),
+    ("", "", ""),
+]
+
+
+@pytest.mark.parametrize("written,spoken,kept", GOLDEN)
+def test_synthesis_normaliser(written, spoken, kept):
+    assert normalize.synthesis_text(written) == spoken
+    assert normalize.synthesis_text(written, keep_latin=True) == kept
+    assert normalize.synthesis_text(spoken) == spoken
+
+
+def test_sounds():
+    assert [normalize.transliterated(w) for w in ("Ram", "queen", "aai", "ouch", "street", "eau", "box", "pneu")] == ["रम", "क्वीन", "आइ", "औच", "स्ट्रीट", "ीउ", "बोक्स", "प्नेउ"]
+    assert [normalize.is_acronym(w) for w in ("ADB", "NEPAL", "NEPALI", "BCDFGH", "Ab", "A1", "")] == [True, True, False, True, False, False, False]
 
 
 def test_null_and_empty_text(spark):
