@@ -21,7 +21,7 @@ ASCII_SPACES = "[ \\t\\n\\r]+"
 @F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Unicode NFC; null stays null. Spark has no built-in."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+    return texts.map(lambda t: t if t is None or t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
 
 
 def without_zero_width(text: Column) -> Column:
@@ -47,12 +47,12 @@ def cleaned_lines(text: Column) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, everything but letters, numbers, underscore and blanks dropped: for leak checks."""
-    return collapsed(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}_ ]", " "), ASCII_SPACES)
+    """Composed, lower case, everything but letters, numbers, underscore and blanks dropped: for leak checks."""
+    return collapsed(F.regexp_replace(F.lower(nfc(text)), "[^\\p{L}\\p{N}_ ]", " "), ASCII_SPACES)
 
 
 def eval_normalized(text: Column) -> Column:
-    return collapsed(F.lower(F.translate(text, EVAL_PUNCTUATION, " " * len(EVAL_PUNCTUATION))))
+    return collapsed(F.lower(F.translate(nfc(text), EVAL_PUNCTUATION, " " * len(EVAL_PUNCTUATION))))
 
 
 def script_kept(text: Column) -> Column:
@@ -148,6 +148,16 @@ def word_grams(tokens: Column, n: int) -> Column:
     return bound(tokens, lambda t: F.when(F.size(t) >= n, runs(t)).otherwise(F.array().cast("array<string>")))
 
 
+def word_gram_hashes(tokens: Column, n: int) -> Column:
+    """64-bit hashes of the distinct n-word runs; none for fewer words."""
+
+    def runs(t: Column) -> Column:
+        hashed = F.transform(t, lambda w: F.xxhash64(w))  # each word once
+        return bound(hashed, lambda h: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(h) - F.lit(n - 1)), lambda i: F.xxhash64(F.slice(h, i, n)))))
+
+    return bound(tokens, lambda t: F.when(F.size(t) >= n, runs(t)).otherwise(F.array().cast("array<bigint>")))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return _ratio(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
 

@@ -100,3 +100,26 @@ def funnel(df: DataFrame, gates: dict[str, Column], by: str, seconds: Column) ->
         passed = passed & F.coalesce(gate, F.lit(False))
         sums += [F.count_if(passed).alias(f"n_{name}"), F.round(F.sum(F.when(passed, seconds).otherwise(0.0)) / 3600, 6).alias(f"hours_{name}")]
     return df.groupBy(by).agg(*sums)
+
+
+def label_fits(ids: Column, most: int = 448) -> Column:
+    """Label ids of no more than `most`; a null fails."""
+    return F.coalesce(F.size(ids) <= most, F.lit(False)) & ids.isNotNull()
+
+
+def truncated(ids: Column, most: int = 448) -> Column:
+    return F.slice(ids, 1, most)
+
+
+def mask_restored(ids: Column, pad: int, mask: int = -100) -> Column:
+    """Masked places hold the pad id again."""
+    return F.transform(ids, lambda x: F.when(x == mask, F.lit(pad)).otherwise(x))
+
+
+def collated(df: DataFrame, batch: str, ids: str, pad: int) -> DataFrame:
+    """ids padded to the longest of the batch, and mask (1 for ids, 0 for pads). A null row is all pads."""
+    longest = df.groupBy(F.col(batch).alias("_batch")).agg(F.max(F.greatest(F.size(ids), F.lit(0))).alias("_longest"))
+    own = F.coalesce(F.col(ids), F.array().cast(dict(df.dtypes)[ids]))
+    rest = F.col("_longest") - F.size(own)
+    padded = df.join(longest, F.col(batch).eqNullSafe(F.col("_batch"))).withColumn("mask", F.concat(F.array_repeat(F.lit(1), F.size(own)), F.array_repeat(F.lit(0), rest)))
+    return padded.withColumn(ids, F.concat(own, F.array_repeat(F.lit(pad), rest))).drop("_batch", "_longest")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import materialize
 
 DRIVER_ROWS = 50_000
+WRITE_EACH = 8  # picks between writes of the pool, so that its plan stays short
 
 
 def _exact(rows: list[tuple], covered: set[str], spent: float, budget: float) -> list[tuple]:
@@ -48,17 +49,17 @@ def greedy_cover(df: DataFrame, key: str, seconds: Column, terms: Column, budget
     pool = materialize(best.select(F.col("_best")["k"].alias("_key"), F.col("_best")["s"].alias("_seconds"), "_terms"), "cover")
     covered: set[str] = set()
     spent, picked = 0.0, []
-    while pool.limit(DRIVER_ROWS + 1).count() > DRIVER_ROWS and spent < budget:
-        left = F.size(F.array_except("_terms", F.array(*map(F.lit, sorted(covered))).cast("array<string>")))
-        top = pool.select(F.struct((left / F.greatest("_seconds", F.lit(1.0))).alias("g"), (-F.col("_key")).alias("nk"), left.alias("n"), "_seconds", "_terms").alias("r")).agg(F.max("r").alias("r")).first()["r"]
-        if not top["n"]:
+    while spent < budget:
+        if pool.limit(DRIVER_ROWS + 1).count() <= DRIVER_ROWS:
+            later = _exact(sorted(map(tuple, pool.collect())), covered, spent, budget)
+            picked += [(k, n + len(picked), g) for k, n, g in later]
             break
-        picked.append((-top["nk"], len(picked) + 1, top["n"]))
+        top = pool.select(F.struct((F.size("_terms") / F.greatest("_seconds", F.lit(1.0))).alias("g"), (-F.col("_key")).alias("nk"), "_seconds", "_terms").alias("r")).agg(F.max("r").alias("r")).first()["r"]
+        picked.append((-top["nk"], len(picked) + 1, len(top["_terms"])))
         covered |= set(top["_terms"])
         spent += top["_seconds"]
-        pool = pool.where(F.size(F.array_except("_terms", F.array(*map(F.lit, sorted(covered))).cast("array<string>"))) > 0)
-    else:
-        candidates = sorted(map(tuple, pool.collect()))
-        later = _exact(candidates, covered, spent, budget)
-        picked += [(k, n + len(picked), g) for k, n, g in later]
+        gone = F.array(*map(F.lit, sorted(top["_terms"])))  # terms that are covered by now leave the pool
+        pool = pool.withColumn("_terms", F.array_except("_terms", gone)).where("size(_terms) > 0")
+        if len(picked) % WRITE_EACH == 0:
+            pool = materialize(pool, "cover")
     return spark.createDataFrame(picked, f"{key} {dict(df.dtypes)[key]}, pick int, gained int")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import bound
 
 BROADCAST_ROWS = 20_000
+ANCHOR_BLOCK = 8_192
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -50,12 +51,22 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def nearest(df: DataFrame, key: str, vector: str, anchors: DataFrame, anchor_key: str, anchor_vector: str) -> DataFrame:
-    """Of each row the anchor with the largest cosine; ties go to the smaller anchor. Anchors are few by nature
-    (centroids, references); the partial aggregate keeps one row for each key and task."""
-    pairs = df.select(key, vector).join(small_side(anchors.select(F.col(anchor_key).alias("_anchor"), F.col(anchor_vector).alias("_vector"))))
-    scored = pairs.select(key, "_anchor", F.round(cosine(F.col(vector), F.col("_vector")), 9).alias("_cos"))
-    best = scored.groupBy(key).agg(F.min(F.struct((-F.col("_cos")).alias("c"), F.col("_anchor").alias("a"))).alias("_best"))
+def nearest(df: DataFrame, key: str, vector: str, anchors: DataFrame, anchor_key: str, anchor_vector: str, block: int = ANCHOR_BLOCK) -> DataFrame:
+    """Of each row the anchor with the largest cosine (rounded to nine places); ties go to the smaller anchor.
+
+    Anchors go in blocks of about `block` rows, each broadcast for one pass over df; the partial aggregate keeps one row
+    for each key and task, so no pairs leave a task.
+    """
+    few, best = anchors.select(F.col(anchor_key).alias("_anchor"), F.col(anchor_vector).alias("_vector")), None
+    parts = max(1, -(-few.count() // block))
+    for k in range(parts):
+        part = few.where(F.pmod(F.xxhash64("_anchor"), F.lit(parts)) == k) if parts > 1 else few
+        pairs = df.select(key, vector).join(F.broadcast(part))
+        scored = pairs.select(key, "_anchor", F.round(cosine(F.col(vector), F.col("_vector")), 9).alias("_cos"))
+        own = scored.groupBy(key).agg(F.min(F.struct((-F.col("_cos")).alias("c"), F.col("_anchor").alias("a"))).alias("_best"))
+        best = own if best is None else best.unionByName(own)
+    if parts > 1:
+        best = best.groupBy(key).agg(F.min("_best").alias("_best"))
     return best.select(key, F.col("_best")["a"].alias("nearest"), (-F.col("_best")["c"]).alias("cosine"))
 
 

@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 def manifest_lines(spark, d):
     """One JSON line for each document; every tenth is cut short and does not parse."""
-    row = F.to_json(F.struct(F.concat(F.lit("/data/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".wav")).alias("audio_filepath"), (F.col("n_chars") / 15.0).alias("duration"), "lang", F.substring("text", 1, 40).alias("text")))
+    row = F.to_json(F.struct(F.concat(F.lit("/data/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".wav")).alias("audio_filepath"), (F.col("n_chars") / 15.0).alias("duration"), "lang", "text"))
     return table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 10 == 3, F.substring(row, 1, 30)).otherwise(row).alias("value"))
 
 
@@ -60,17 +60,8 @@ def inventory_without_parse(spark, d):
     return lines.groupBy(F.regexp_extract("value", "/data/([^/]+)/", 1).alias("source")).agg(F.count("*").alias("clips"), F.round(F.sum(seconds) / 3600, 6).alias("hours"))
 
 
-@query("SELECT 'ne' AS \"set\", event_id AS step, 'flow_loss' AS metric, value AS reading FROM events WHERE event_id < 500 UNION ALL SELECT NULL, event_id, 'kl', value * 2 FROM events WHERE event_id BETWEEN 500 AND 600")
-def log_line_scan(spark, d):
-    e = table(spark, d, "events")
-    at = F.col("event_id").cast("string")
-    tagged = e.where("event_id < 500").select(F.concat(F.lit("valid[ne] @ step "), at, F.lit(": {'flow_loss': '"), F.col("value").cast("string"), F.lit("'}")).alias("value"))
-    plain = e.where("event_id between 500 and 600").select(F.concat(F.lit("valid @ step "), at, F.lit(": {'kl': "), (F.col("value") * 2).cast("string"), F.lit("}")).alias("value"))
-    return manifest.training_log(tagged.unionByName(plain))
-
-
 @query("SELECT CASE WHEN event_id % 2 = 0 THEN 'ne' END AS \"set\", event_id AS step, CASE WHEN event_id % 2 = 0 THEN 'flow_loss' ELSE 'kl' END AS metric, value AS reading FROM events")
-def log_line_scan_whole(spark, d):
+def log_line_scan(spark, d):
     """A line of either sort for all events."""
     e, tagged = table(spark, d, "events"), F.col("event_id") % 2 == 0
     at, value = F.col("event_id").cast("string"), F.col("value").cast("string")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import normalize, numbers, signal
+from ..functions import normalize, numbers, pieces, signal
 from ..functions import text as tx
 from ..operators import cluster, gates, intervals, ngrams, score, setcover, vectors
-from ..sources.tables import table
+from ..sources.tables import materialize, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -73,8 +73,8 @@ t AS (SELECT doc_id, unnest({_WORDS.format('lower(text)')}) AS w FROM documents)
 SELECT doc_id, round(avg(CASE WHEN lex.w IS NULL THEN 0.0 ELSE 1.0 END), 8) AS covered FROM t LEFT JOIN lex ON t.w = lex.w GROUP BY 1""")
 def lexicon_coverage(spark, d):
     lex = table(spark, d, "benchmark").select(F.explode(tx.words(F.lower("text"))).alias("w")).distinct().withColumn("known", F.lit(1.0))
-    tokens = table(spark, d, "documents").select("doc_id", F.explode(tx.words(F.lower("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    return tokens.join(lex, "w", "left").groupBy("doc_id").agg(F.round(F.sum(F.coalesce("known", F.lit(0.0)) * F.col("n")) / F.sum("n"), 8).alias("covered"))
+    tokens = table(spark, d, "documents").select("doc_id", F.explode(tx.words(F.lower("text"))).alias("w"))
+    return tokens.join(vectors.small_side(lex, ngrams.INDEX_ROWS), "w", "left").groupBy("doc_id").agg(F.round(F.avg(F.coalesce("known", F.lit(0.0))), 8).alias("covered"))
 
 
 @query(f"SELECT doc_id, t AS term FROM documents, (SELECT unnest([{_TERM_LIST}]) AS t) WHERE contains(lower(text), t)")
@@ -141,6 +141,32 @@ def contamination_ngram_jaccard(spark, d):
     return ngrams.best_match(docs, "doc_id", items, "item_id").select("doc_id", "item_id", "shared", F.round("jaccard", 8).alias("jaccard"))
 
 
+@query(f"""
+WITH c AS (SELECT min(doc_id) AS doc_id, string_split(t, ' ') AS ws FROM (SELECT doc_id, {_CANON.format("text")} AS t FROM documents) WHERE t IS NOT NULL GROUP BY t),
+a AS (SELECT doc_id, {_GRAMS.format("ws")} AS g FROM c), x AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM a),
+p AS (SELECT a.doc_id, b.doc_id AS other, count(*) AS s, any_value(a.n) + any_value(b.n) - count(*) AS u FROM x a JOIN x b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT doc_id, other, round(s * 1.0 / u, 8) AS jaccard FROM p WHERE s * 100 >= u * 80""")
+def near_dup_pairs(spark, d):
+    """Pairs of different canonical texts, each by its smallest doc_id; near_dup_members has the copies."""
+    first = table(spark, d, "documents").select("doc_id", tx.canonical(F.col("text")).alias("text")).where("text is not null").groupBy(F.sha2("text", 256).alias("h")).agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id"))
+    pairs = ngrams.similar_pairs(materialize(ngrams.gram_sets(first, "doc_id", "text", 5), "grams"), "doc_id", 80)
+    return pairs.select("doc_id", "other", F.round("jaccard", 8).alias("jaccard"))
+
+
+@query(f"SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS first FROM (SELECT doc_id, {_CANON.format('text')} AS t FROM documents) WHERE t IS NOT NULL")
+def near_dup_members(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.sha2(tx.canonical(F.col("text")), 256).alias("h")).where("h is not null")
+    return docs.join(docs.groupBy("h").agg(F.min("doc_id").alias("first")), "h").select("doc_id", "first")
+
+
+@query()
+def piece_counts(spark, d):
+    import public_tokenizers
+
+    found = pieces.piece_counts(F.col("text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return table(spark, d, "documents").select("doc_id", found.alias("c")).select("doc_id", "c.pieces", "c.unknown")
+
+
 @query(f"SELECT doc_id, item_id FROM documents d JOIN benchmark b ON {_CANON.format('d.text')} = {_CANON.format('b.text')}")
 def contamination_exact(spark, d):
     a = table(spark, d, "documents").select("doc_id", tx.canonical(F.col("text")).alias("c"))

@@ -55,7 +55,9 @@ def report(df: DataFrame, most: int = 10_000) -> str:
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A small aggregate as a Markdown table."""
-    rows = df.limit(most).collect()
+    """A small aggregate as a Markdown table; an error if it is not small."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of more than {most} rows")
     line = lambda cells: "| " + " | ".join(str(c) for c in cells) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder below spark.checkpoint.dir, which the driver and all executors see; it goes when the
-    driver ends. A temporary folder is made only where the setting is absent, as in local tests."""
+    driver ends. Where the setting is absent, a local session takes a temporary folder and any other raises."""
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessella-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+        base = base or "file://" + tempfile.mkdtemp(prefix="tessella-")
         _ROOTS[app] = f"{base.rstrip('/')}/tessella-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_remove, spark, _ROOTS[app])
     return _ROOTS[app]

@@ -50,7 +50,7 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name, each", [("positional_zip_whole", "documents"), ("caption_grid_whole", "benchmark"), ("log_line_scan_whole", "events")])
+@pytest.mark.parametrize("name, each", [("positional_zip", "documents"), ("caption_grid", "benchmark"), ("log_line_scan", "events")])
 def test_no_row_is_left_out(spark, duck, name, each):
     n = duck.execute(f"SELECT count(*) FROM {each}").fetchone()[0]
     assert catalogue.QUERIES[name](spark, FOLDER).count() == n * (6 if each == "benchmark" else 1)
@@ -58,4 +58,4 @@ def test_no_row_is_left_out(spark, duck, name, each):
 
 def test_new_pieces_come_from_all_documents(spark, duck):
     last = duck.execute("SELECT count(*) FROM (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '')) AS w FROM documents WHERE doc_id >= 20) WHERE w NOT IN (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) FROM benchmark)").fetchone()[0]
-    assert catalogue.QUERIES["vocabulary_append_whole"](spark, FOLDER).count() >= last > catalogue.QUERIES["vocabulary_append"](spark, FOLDER).count()
+    assert catalogue.QUERIES["vocabulary_append"](spark, FOLDER).count() >= last > 0

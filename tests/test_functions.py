@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.functions import normalize, numbers, signal
+from tessella.functions import normalize, numbers, pieces, signal
 from tessella.functions import text as tx
 from tessella.operators import intervals, score
 
@@ -96,3 +96,30 @@ def test_signal():
     assert abs(signal.peak_guarded(np.array([2.0, -1.0])).max() - 0.99) < 1e-9
     a, b = signal.augmented(tone, 7), signal.augmented(tone, 7)
     assert a[1] == b[1] and np.array_equal(a[0], b[0])
+
+
+def test_signal_columns(spark):
+    t = np.arange(8000) / 16000
+    tone = np.where((t > 0.1) & (t < 0.4), 0.5 * np.sin(2 * np.pi * 200 * t), 0.0)
+    df = spark.createDataFrame([(1, tone.tolist()), (2, tone[:6000].tolist()), (3, []), (4, None)], "k long, x array<double>")
+    wav = signal.wav_encoded(F.col("x"), 16000)
+    rows = df.select("k", signal.activity(F.col("x"), 16000).alias("a"), signal.wav_probe(wav).alias("w"), signal.conditioned(F.col("x"), 16000, 8000).alias("c"), signal.pitch(F.col("x"), 16000).alias("p"), signal.augmented_samples(F.col("x"), F.col("k")).alias("g")).collect()
+    a, b, empty, none = rows
+    assert abs(a.a.voiced_share - 0.6) < 0.05 and abs(a.a.lead_seconds - 0.1) < 0.03 and not a.a.truncated and a.a.low_share < 0.05
+    assert b.a.truncated and empty.a.voiced_share == none.a.voiced_share == 0
+    assert (a.w.rate, a.w.channels, a.w.seconds) == (16000, 1, 0.5) and empty.w.seconds == 0 and none.w.rate is None
+    assert len(a.c) == 4000 and none.c is None and abs(a.p.autocorrelation - 200) < 3
+    assert list(a.g.samples) == signal.augmented(tone, 1)[0].tolist() and len(none.g.samples) == 0
+
+
+def test_pieces(spark):
+    public_tokenizers, sentencepiece = pytest.importorskip("public_tokenizers"), pytest.importorskip("sentencepiece")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["hello there", "", None, "字 é \U0001f600", "x" * 500]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    for r in df.select("t", pieces.piece_ids(F.col("t"), path).alias("i"), pieces.piece_counts(F.col("t"), path).alias("c")).collect():
+        want = model.encode(r.t or "")
+        assert (r.i is None if r.t is None else r.i == want) and (r.c.pieces, r.c.unknown) == (len(want), want.count(model.unk_id()))
+    chars = spark.createDataFrame([("a",), ("\U0001f6d8",), (None,)], "t string").select(pieces.representable(F.col("t"), path).alias("r")).collect()
+    assert [r.r for r in chars] == [True, False, None]

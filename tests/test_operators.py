@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import cluster, dedupe, gates, ordered, sample, setcover, vectors
+from tessella.functions import text as tx
+from tessella.operators import cluster, dedupe, gates, ngrams, ordered, sample, setcover, vectors
 from tessella.sources import manifest, sinks
 from tessella.streaming import events
 
@@ -180,3 +182,55 @@ def test_stream_stops_at_target(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(path)
         events.run_to_end(events.stop_at_target(stream, "k", "id", "s", 9.0), out, offsets)
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(10))  # five rows of each key
+
+
+def test_nearest_in_blocks(spark):
+    r = random.Random(3)
+    rows = spark.createDataFrame([(k, [r.uniform(-1, 1) for _ in range(4)]) for k in range(30)], "k long, v array<double>")
+    anchors = spark.createDataFrame([(k, [float(x) for x in r.choices([-1, 0, 1], k=4)]) for k in range(40)], "a long, u array<double>")
+    one, many = (sorted(map(tuple, vectors.nearest(rows, "k", "v", anchors, "a", "u", block=b).collect())) for b in (100, 3))
+    assert one == many and len(one) == 30
+
+
+def test_cover_ends_at_its_budget_with_any_pool(spark, monkeypatch):
+    rows = [(k, float(1 + k % 3), [f"t{(k * j) % 17}" for j in range(1, 4)]) for k in range(40)]
+    df = spark.createDataFrame(rows, "k long, s double, t array<string>")
+    want = [sorted(map(tuple, setcover.greedy_cover(df, "k", F.col("s"), F.col("t"), b).collect())) for b in (4.0, float("inf"))]
+    monkeypatch.setattr(setcover, "DRIVER_ROWS", 1)
+    monkeypatch.setattr(setcover, "WRITE_EACH", 2)
+    assert [sorted(map(tuple, setcover.greedy_cover(df, "k", F.col("s"), F.col("t"), b).collect())) for b in (4.0, float("inf"))] == want
+
+
+def test_markdown_of_many_rows_raises(spark):
+    assert sinks.markdown(spark.range(2)).endswith("| 1 |")
+    with pytest.raises(ValueError):
+        sinks.markdown(spark.range(5), most=4)
+
+
+def test_canonical_texts_are_composed(spark):
+    rows = spark.createDataFrame([("Cafe\u0301 e\u0301te\u0301",), ("caf\u00e9 \u00e9t\u00e9",)], "t string")
+    got = rows.select(tx.canonical(F.col("t")).alias("c"), tx.eval_normalized(F.col("t")).alias("e")).distinct().collect()
+    assert [tuple(x) for x in got] == [("caf\u00e9 \u00e9t\u00e9",) * 2]
+
+
+def test_similar_pairs_equal_brute_force(spark):
+    r = random.Random(8)
+    texts = [" ".join(r.choices("abcdefg", k=r.randint(0, 30))) for _ in range(20)]
+    for t in list(texts):
+        w = t.split()
+        if w:
+            w[r.randrange(len(w))] = "z"
+        texts.append(" ".join(w))
+    grams = {k: {tuple(t.split()[i : i + 2]) for i in range(len(t.split()) - 1)} for k, t in enumerate(texts)}
+    want = {(a, b): len(grams[a] & grams[b]) for a in grams for b in grams if a < b and grams[a] and 10 * len(grams[a] & grams[b]) >= 6 * len(grams[a] | grams[b])}
+    sets = ngrams.gram_sets(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), "k", "t", 2)
+    got = {(x.k, x.other): round(x.jaccard * len(grams[x.k] | grams[x.other])) for x in ngrams.similar_pairs(sets, "k", 60).collect()}
+    assert got == want and len(want) > 5
+
+
+def test_labels_are_filtered_masked_and_padded(spark):
+    rows = spark.createDataFrame([(0, 1, [1, -100, 2]), (0, 2, [3]), (1, 3, []), (1, 4, None), (1, 5, [4, 5])], "batch int, k int, ids array<int>")
+    got = {x.k: (x.fits, x.cut, x.restored) for x in rows.select("k", gates.label_fits(F.col("ids"), 2).alias("fits"), gates.truncated(F.col("ids"), 2).alias("cut"), gates.mask_restored(F.col("ids"), 0).alias("restored")).collect()}
+    assert got == {1: (False, [1, -100], [1, 0, 2]), 2: (True, [3], [3]), 3: (True, [], []), 4: (False, None, None), 5: (True, [4, 5], [4, 5])}
+    padded = {x.k: (x.ids, x.mask) for x in gates.collated(rows, "batch", "ids", 9).collect()}
+    assert padded == {1: ([1, -100, 2], [1, 1, 1]), 2: ([3, 9, 9], [1, 0, 0]), 3: ([9, 9], [0, 0]), 4: ([9, 9], [0, 0]), 5: ([4, 5], [1, 1])}
