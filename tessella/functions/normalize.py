@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +17,7 @@ from .text import DEVANAGARI_DIGITS, PLAIN_SIGNS, SIGNS, SPACES, ZERO_WIDTH, col
 
 _DIGITS = str.maketrans(DEVANAGARI_DIGITS, "0123456789")
 _PLAIN = str.maketrans(SIGNS + DEVANAGARI_DIGITS, PLAIN_SIGNS + "0123456789", ZERO_WIDTH)
+_NOT_PLAIN = re.compile(f"[{re.escape(SIGNS + DEVANAGARI_DIGITS + ZERO_WIDTH)}]")
 _ALL_SPACES = SPACES.replace("[", "[\\u001C-\\u001F", 1)
 
 
@@ -32,7 +33,8 @@ def numbers_read(texts: pd.Series, langs: pd.Series) -> pd.Series:
         if text is None:
             return None
         say = nepali_number if lang == "ne-NP" else english_number
-        return NUMBER.sub(lambda m: f" {say(m[0])} ", composed(text).translate(_PLAIN))
+        text = composed(text)
+        return NUMBER.sub(lambda m: f" {say(m[0])} ", text.translate(_PLAIN) if _NOT_PLAIN.search(text) else text)
 
     return pd.Series([one(t, v) for t, v in zip(texts, langs, strict=True)], dtype=object)
 
@@ -85,13 +87,14 @@ class Reader:
 
     def __init__(self, keep_latin: bool = False, lexicon: dict[str, str] = R.LEXICON) -> None:
         self.keep_latin, self.lexicon = keep_latin, lexicon
+        self.known = lru_cache(1 << 16)(self.token)
         phrases = [] if keep_latin else sorted((p for p in lexicon if " " in p), key=len, reverse=True)
         phrase = "(?i:" + "|".join(map(re.escape, phrases)) + ")" if phrases else "(?!)"
         decimal = "[0-9०-९]+[.][0-9०-९]+"
         plain = f"(?!{phrase}|{decimal})"
-        self.scanner = re.compile(f"(?P<phrase>{phrase})|(?P<decimal>{decimal})|(?P<token>(?:{plain}[A-Za-z0-9])+|(?:{plain}[०-९])+)|(?P<sign>.)", re.DOTALL)
+        self.scanner = re.compile(f"(?P<phrase>{phrase})|(?P<decimal>{decimal})|(?P<token>(?:{plain}[A-Za-z0-9])+|(?:{plain}[०-९])+)")
         self.signs = str.maketrans(dict.fromkeys(R.BLANKS, " ") | {s: f" {w} " for s, w in R.SYMBOL_WORDS.items()} | R.PLAIN)
-        self.kept = R.SAFE | (set(map(chr, [*range(65, 91), *range(97, 123)])) if keep_latin else set())
+        self.unsafe = re.compile("[^" + re.escape("".join(sorted(R.SAFE))) + ("A-Za-z" if keep_latin else "") + "]+")
 
     def token(self, word: str) -> str:
         if self.keep_latin and word.isascii() and word.isalpha():
@@ -102,20 +105,17 @@ class Reader:
         return " ".join(number_read(x) if x.isdecimal() else self.lexicon.get(x.lower()) or latin_read(x) for x in runs)
 
     def reading(self, m: re.Match) -> str:
-        said = m[0]
+        if m.lastgroup == "token":
+            return self.known(m[0])
         if m.lastgroup == "phrase":
-            said = self.lexicon[said.lower()]
-        elif m.lastgroup == "decimal":
-            whole, part = said.split(".")
-            said = f"{number_read(whole)} {NE_POINT} {digit_words(part.translate(_DIGITS), NE_SMALL)}"
-        elif m.lastgroup == "token":
-            said = self.token(said)
-        return "".join(filter(self.kept.__contains__, said))
+            return self.lexicon[m[0].lower()]
+        whole, part = m[0].split(".")
+        return f"{number_read(whole)} {NE_POINT} {digit_words(part.translate(_DIGITS), NE_SMALL)}"
 
     def read(self, text: str) -> str:
         """Everything a speaker would say, in representable characters only; Latin glosses in brackets go."""
         plain = re.sub(r"[(\[{][A-Za-z0-9 .,'&-]*[)\]}]", " ", composed(text)).translate(self.signs)
-        return " ".join(self.scanner.sub(self.reading, plain).split())
+        return " ".join(self.unsafe.sub("", self.scanner.sub(self.reading, plain)).split())
 
 
 @cache
