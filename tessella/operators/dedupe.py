@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import materialize
 
@@ -22,23 +27,41 @@ def last_written(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     return df.groupBy(*keys).agg(value.alias("_row")).select(*(c if c in keys else F.col("_row")[c].alias(c) for c in df.columns))
 
 
-def admitted_by_either_key(df: DataFrame, first: str, second: str, order: str) -> DataFrame:
-    """Replays rows in order; a row stays if none of its keys, in one shared namespace, was registered by a row that
-    stayed. A null second key registers nothing.
+REPLAY_ROWS = 500_000
+
+
+def admitted_by_either_key(df: DataFrame, first: str, second: str, order: str, replay_rows: int = REPLAY_ROWS) -> DataFrame:
+    """Replays rows in order, which is unique; a row stays if none of its keys, in one shared namespace, was registered
+    by a row that stayed. A null key registers nothing.
 
-    Only rows whose keys meet another row's depend on the order. Rows that are first for both keys among all rows
-    stay without replay; a row whose first-for-key rows all stay without replay goes; the rest is replayed by
-    rounds, each of which settles the rows that are now first among the unsettled.
+    By rounds: a row that is first among the open ones for each of its keys stays, and all open rows that share a key
+    with it are settled. Each round writes only the rows still open; once these are replay_rows or fewer, one task
+    replays them in order.
     """
-    open_rows = df.withColumn("_keys", F.array_compact(F.array(F.col(first).cast("string"), F.col(second).cast("string"))))
-    state = materialize(open_rows.select(order, "_keys", F.lit(None).cast("boolean").alias("_stays")), "replay")
-    while True:
-        keyed = state.where("_stays is null or _stays").select(F.explode("_keys").alias("_key"), F.col(order).alias("_order"), F.coalesce("_stays", F.lit(False)).alias("_taken"))
-        least = keyed.groupBy("_key").agg(F.min(F.when(~F.col("_taken"), F.col("_order"))).alias("_first"), F.min(F.when(F.col("_taken"), F.col("_order"))).alias("_owner"))
-        seen = state.where("_stays is null").select(order, F.explode("_keys").alias("_key")).join(least, "_key")
-        verdict = seen.groupBy(order).agg(F.max((F.col("_owner") < F.col(order)).cast("int")).alias("_gone"), F.min((F.col("_first") == F.col(order)).cast("int")).alias("_leads"))
-        verdict = verdict.select(F.col(order).alias("_at"), F.when(F.col("_gone") == 1, F.lit(False)).when(F.col("_leads") == 1, F.lit(True)).alias("_now"))
-        after = state.join(verdict, state[order] == verdict["_at"], "left").select(order, "_keys", F.coalesce("_stays", "_now", F.when(F.size("_keys") == 0, F.lit(True))).alias("_stays"))
-        state = materialize(after, "replay")
-        if state.where("_stays is null").isEmpty():
-            return df.join(state.where("_stays").select(order), order, "left_semi")
+    keys = F.array_distinct(F.array_compact(F.array(F.col(first).cast("string"), F.col(second).cast("string"))))
+    rows = df.select(F.col(order).alias("_at"), keys.alias("_keys"))
+    stays = [rows.where(F.size("_keys") == 0).select("_at")]
+    left = materialize(rows.where(F.size("_keys") > 0), "replay")
+    while left.limit(replay_rows + 1).count() > replay_rows:
+        keyed = left.select("_at", F.explode("_keys").alias("_key"))
+        leaders = keyed.groupBy("_key").agg(F.min("_at").alias("_at"))
+        leads = leaders.groupBy("_at").agg(F.collect_list("_key").alias("_led"))  # at most both keys of a row
+        now = materialize(left.join(leads, "_at").where(F.size("_led") == F.size("_keys")).select("_at", "_keys"), "replay")
+        taken = now.select(F.explode("_keys").alias("_key"))  # by one row each
+        left = materialize(left.join(keyed.join(taken, "_key", "left_semi").select("_at"), "_at", "left_anti"), "replay")
+        stays.append(now.select("_at"))
+    kind = rows.schema["_at"].dataType
+
+    def replay(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            kept = []
+            for own in batch["_keys"].to_pylist():
+                kept.append(seen.isdisjoint(own))
+                if kept[-1]:
+                    seen.update(own)
+            yield batch.select(["_at"]).filter(pa.array(kept, pa.bool_()))
+
+    stays.append(left.repartition(1).sortWithinPartitions("_at").mapInArrow(replay, T.StructType([T.StructField("_at", kind)])))
+    admitted = reduce(DataFrame.unionByName, stays)
+    return df.join(admitted, F.col(order) == F.col("_at"), "left_semi")

@@ -19,8 +19,9 @@ def test_either_key_replay(spark):
             continue
         seen |= {a} | ({b} if b is not None else set())
         want.append(k)
-    got = dedupe.admitted_by_either_key(spark.createDataFrame(rows, "k long, a string, b string"), "a", "b", "k")
-    assert sorted(x.k for x in got.collect()) == want
+    for replay_rows in (0, 20, 1000):  # rounds alone, some rounds, none
+        got = dedupe.admitted_by_either_key(spark.createDataFrame(rows, "k long, a string, b string"), "a", "b", "k", replay_rows)
+        assert sorted(x.k for x in got.collect()) == want
 
 
 def test_budget_prefix_keeps_crossing_row(spark):
