@@ -153,7 +153,7 @@ def word_gram_hashes(tokens: Column, n: int) -> Column:
 
     def runs(t: Column) -> Column:
         hashed = F.transform(t, lambda w: F.xxhash64(w))  # each word once
-        return bound(hashed, lambda h: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(h) - F.lit(n - 1)), lambda i: F.xxhash64(F.slice(h, i, n)))))
+        return bound(hashed, lambda h: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(h) - F.lit(n)), lambda i: F.xxhash64(*(h[i + k] for k in range(n))))))
 
     return bound(tokens, lambda t: F.when(F.size(t) >= n, runs(t)).otherwise(F.array().cast("array<bigint>")))
 

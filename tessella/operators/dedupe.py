@@ -64,4 +64,4 @@ def admitted_by_either_key(df: DataFrame, first: str, second: str, order: str, r
 
     stays.append(left.repartition(1).sortWithinPartitions("_at").mapInArrow(replay, T.StructType([T.StructField("_at", kind)])))
     admitted = reduce(DataFrame.unionByName, stays)
-    return df.join(admitted, F.col(order) == F.col("_at"), "left_semi")
+    return df.join(admitted, df[order] == admitted["_at"], "left_semi")

@@ -19,8 +19,8 @@ def gram_sets(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
 
 def overlap_by_gram(left: DataFrame, key: str, right: DataFrame, other: str) -> DataFrame:
     """Shared grams of each pair of sets with any, by an inverted index; right is the small, indexed side."""
-    a = left.select(key, F.col("n_grams").alias("_na"), F.explode("grams").alias("_gram"))
-    b = small_side(right.select(other, F.col("n_grams").alias("_nb"), F.explode("grams").alias("_gram")), INDEX_ROWS)
+    a = left.select(key, F.col("n_grams").alias("_na"), F.explode_outer("grams").alias("_gram"))  # an inner one would compute
+    b = small_side(right.select(other, F.col("n_grams").alias("_nb"), F.explode_outer("grams").alias("_gram")), INDEX_ROWS)  # the grams once more, in a filter
     pairs = a.join(b, "_gram").groupBy(key, other).agg(F.count("*").alias("shared"), F.first("_na").alias("_na"), F.first("_nb").alias("_nb"))
     return pairs.withColumn("jaccard", F.col("shared") / (F.col("_na") + F.col("_nb") - F.col("shared"))).drop("_na", "_nb")
 

@@ -235,3 +235,17 @@ def test_labels_are_filtered_masked_and_padded(spark):
     assert got == {1: (False, [1, -100], [1, 0, 2]), 2: (True, [3], [3]), 3: (True, [], []), 4: (False, None, None), 5: (True, [4, 5], [4, 5])}
     padded = {x.k: (x.ids, x.mask) for x in gates.collated(rows, "batch", "ids", 9).collect()}
     assert padded == {1: ([1, -100, 2], [1, 1, 1]), 2: ([3, 9, 9], [1, 0, 0]), 3: ([9, 9], [0, 0]), 4: ([9, 9], [0, 0]), 5: ([4, 5], [1, 1])}
+
+
+def test_helper_columns_leave_the_callers_alone(spark):
+    rows = spark.range(40).select("id", (F.col("id") % 3).alias("g"), F.lit("mine").alias("_value"), F.lit("mine").alias("_bucket"), F.lit("mine").alias("_0_rank"), F.md5(F.col("id").cast("string")).alias("h"))
+    bucket = ordered.hash_bucket(F.col("h"))
+    for got in (
+        ordered.with_running(rows, [F.col("h")], bucket, F.col("id"), groups=["g"]).drop("rn", "before"),
+        ordered.budget_prefix(rows, [F.col("h")], bucket, F.col("id"), 100),
+        sample.cap_per_group(rows, ["g"], ["h"], 2),
+        sample.quota_with_topup(rows, "g", "h", "id", 2, 10),
+        sample.largest_first_by_depth(rows, "g", [F.col("h")], 7),
+    ):
+        assert got.columns == rows.columns
+        assert {tuple(r) for r in got.select("_value", "_bucket", "_0_rank").collect()} == {("mine",) * 3}
