@@ -264,41 +264,73 @@ def all_spans(text: str, decoder: Decoder, kinds: Iterable[int] = (0, 1, 2)) ->
     return base, sorted(base + added)
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+class _Sequence:
+    """A tagged sequence's features as one array: by token for the scores, by feature for the gradient."""
+
+    def __init__(self, features: list[list[str]], tags: list[int], names: dict[str, int]):
+        coded = np.array([names.setdefault(f, len(names)) for token in features for f in token])
+        sizes = [len(token) for token in features]  # each token has a bias, so none is empty
+        self.coded, self.starts = coded, np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        order = np.argsort(coded, kind="stable")
+        self.tokens = np.repeat(np.arange(len(sizes)), sizes)[order]
+        self.names, self.cuts = np.unique(coded[order], return_index=True)
+        self.tags = np.array(tags)
+
+    def scores(self, emit: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(emit[self.coded], self.starts, axis=0)
+
+    def by_name(self, gradient: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(gradient[self.tokens], self.cuts, axis=0)
+
+
+def _expected(scores: np.ndarray, step: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of each token's tags, and expected number of each step, by the forward-backward recursions on
+    probabilities scaled at each token."""
+    rows = np.exp(scores - scores.max(axis=1, keepdims=True))
+    weights = np.exp(step)
+    (bb, bi, bo), (ib, ii, io), (ob, oi, oo) = weights.tolist()
+    b, i, o = (rows[0] * np.exp(first - first.max())).tolist()
+    ahead, listed = [], rows.tolist()
+    total = b + i + o
+    b, i, o = b / total, i / total, o / total
+    ahead.append((b, i, o))
+    for x, y, z in listed[1:]:
+        b, i, o = x * (b * bb + i * ib + o * ob), y * (b * bi + i * ii + o * oi), z * (b * bo + i * io + o * oo)
+        total = b + i + o
+        b, i, o = b / total, i / total, o / total
+        ahead.append((b, i, o))
+    behind = [(1.0, 1.0, 1.0)]
+    b = i = o = 1.0
+    for x, y, z in reversed(listed[1:]):
+        b, i, o = x * b, y * i, z * o
+        b, i, o = bb * b + bi * i + bo * o, ib * b + ii * i + io * o, ob * b + oi * i + oo * o
+        total = b + i + o
+        b, i, o = b / total, i / total, o / total
+        behind.append((b, i, o))
+    before, after = np.array(ahead), np.array(behind[::-1])
+    chances = before * after
+    chances /= chances.sum(axis=1, keepdims=True)
+    pairs = before[:-1, :, None] * weights * (rows[1:] * after[1:])[:, None, :]
+    return chances, (pairs / pairs.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
 
 
 def train_field(sequences: list[tuple[list[list[str]], list[int]]], rounds: int = 8, rate: float = 0.3, decay: float = 1e-4, seed: int = 11) -> Field:
-    """Maximum likelihood by adaptive gradient steps; gradients from the forward-backward recursions."""
+    """Maximum likelihood by adaptive gradient steps, one for each sequence."""
     names: dict[str, int] = {}
-    coded = [([np.array([names.setdefault(f, len(names)) for f in token]) for token in features], np.array(tags)) for features, tags in sequences]
+    coded = [_Sequence(features, tags, names) for features, tags in sequences]
     emit, step, first = np.zeros((len(names), 3)), np.zeros((3, 3)), np.zeros(3)
     first[I] = step[O, I] = -1e4  # inside only follows begin or inside
     seen_emit, seen_step, seen_first = np.full_like(emit, 1e-2), np.full_like(step, 1e-2), np.full_like(first, 1e-2)
     order = random.Random(seed)
     for _ in range(rounds):
         order.shuffle(coded)
-        for rows, tags in coded:
-            scores = np.array([emit[r].sum(axis=0) for r in rows])
-            n = len(rows)
-            ahead, behind = np.empty((n, 3)), np.zeros((n, 3))
-            ahead[0] = first + scores[0]
-            for k in range(1, n):
-                ahead[k] = _log_sum(ahead[k - 1][:, None] + step, 0) + scores[k]
-            for k in range(n - 2, -1, -1):
-                behind[k] = _log_sum(step + (scores[k + 1] + behind[k + 1])[None, :], 1)
-            total = _log_sum(ahead[-1], 0)
-            gradient = np.exp(ahead + behind - total)
-            gradient[np.arange(n), tags] -= 1
-            moves = np.zeros((3, 3))
-            for k in range(1, n):
-                moves += np.exp(ahead[k - 1][:, None] + step + (scores[k] + behind[k])[None, :] - total)
-                moves[tags[k - 1], tags[k]] -= 1
-            for r, g in zip(rows, gradient, strict=True):
-                g = g + decay * emit[r]
-                seen_emit[r] += g * g
-                emit[r] -= rate * g / np.sqrt(seen_emit[r])
+        for s in coded:
+            gradient, moves = _expected(s.scores(emit), step, first)
+            gradient[np.arange(len(s.tags)), s.tags] -= 1
+            np.subtract.at(moves, (s.tags[:-1], s.tags[1:]), 1)
+            g = s.by_name(gradient) + decay * emit[s.names]
+            seen_emit[s.names] += g * g
+            emit[s.names] -= rate * g / np.sqrt(seen_emit[s.names])
             seen_step += moves * moves
             seen_first += gradient[0] ** 2
             step -= rate * moves / np.sqrt(seen_step)

@@ -148,6 +148,22 @@ def test_field_runs_over_all_tokens(spark):
     assert all("[SECRET]" in x.text for x in secrets.redact_secrets(docs, field).collect())
 
 
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_expectations_equal_sums_over_all_paths(n):
+    r = np.random.default_rng(n)
+    scores, step, first = r.normal(size=(n, 3)), r.normal(size=(3, 3)), r.normal(size=3)
+    tags, steps, total = np.zeros((n, 3)), np.zeros((3, 3)), 0.0
+    for path in itertools.product(range(3), repeat=n):
+        weight = np.exp(first[path[0]] + sum(scores[k, t] for k, t in enumerate(path)) + sum(step[a, b] for a, b in zip(path, path[1:])))
+        total += weight
+        for k, t in enumerate(path):
+            tags[k, t] += weight
+        for a, b in zip(path, path[1:]):
+            steps[a, b] += weight
+    got = secrets._expected(scores, step, first)
+    assert np.allclose(got[0], tags / total) and np.allclose(got[1], steps / total)
+
+
 def test_viterbi_is_the_best_path(field):
     tokens = ["the", "token", "=", "a1b2c3d4e5f6a7b8", "end"]
     features = secrets.token_features(tokens, 60)
