@@ -48,7 +48,11 @@ def cleaned_lines(text: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """Composed, lower case, everything but letters, numbers, underscore and blanks dropped: for leak checks."""
-    return collapsed(F.regexp_replace(F.lower(nfc(text)), "[^\\p{L}\\p{N}_ ]", " "), ASCII_SPACES)
+    return F.trim(F.regexp_replace(F.lower(nfc(text)), "[^\\p{L}\\p{N}_]+", " "))
+
+
+def canonical_words(text: Column) -> Column:
+    return F.filter(F.split(canonical(text), " "), lambda w: w != "")
 
 
 def eval_normalized(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical, word_gram_hashes, words
+from ..functions.text import canonical_words, word_gram_hashes
 from .vectors import small_side
 
 
@@ -14,7 +14,7 @@ INDEX_ROWS = 500_000  # an index of no more grams is broadcast
 
 def gram_sets(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """key, grams (64-bit hashes of the distinct n-word runs of the canonical text) and n_grams."""
-    return df.select(F.col(key), word_gram_hashes(words(canonical(F.col(text))), n).alias("grams")).withColumn("n_grams", F.size("grams"))
+    return df.select(F.col(key), word_gram_hashes(canonical_words(F.col(text)), n).alias("grams")).withColumn("n_grams", F.size("grams"))
 
 
 def overlap_by_gram(left: DataFrame, key: str, right: DataFrame, other: str) -> DataFrame:

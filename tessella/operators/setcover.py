@@ -43,10 +43,10 @@ def greedy_cover(df: DataFrame, key: str, seconds: Column, terms: Column, budget
     sets. While these are too many for the driver, rows are picked one by one with a distributed arg-max.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(key).alias("_key"), seconds.cast("double").alias("_seconds"), F.array_sort(F.array_distinct(terms)).alias("_terms")).where("size(_terms) > 0")
+    rows = df.select(F.col(key).alias("_key"), seconds.cast("double").alias("_seconds"), F.array_sort(F.array_distinct(terms)).alias("_terms"))
     weight = F.greatest(F.col("_seconds"), F.lit(1.0))
     best = rows.groupBy("_terms").agg(F.min(F.struct(weight.alias("w"), F.col("_key").alias("k"), F.col("_seconds").alias("s"))).alias("_best"))
-    pool = materialize(best.select(F.col("_best")["k"].alias("_key"), F.col("_best")["s"].alias("_seconds"), "_terms"), "cover")
+    pool = materialize(best.select(F.col("_best")["k"].alias("_key"), F.col("_best")["s"].alias("_seconds"), "_terms"), "cover").where("size(_terms) > 0")  # before the write, the filter would compute the terms once more
     covered: set[str] = set()
     spent, picked = 0.0, []
     while spent < budget:

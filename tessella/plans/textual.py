@@ -270,7 +270,7 @@ def dense_first_fill(spark, d):
     from ..operators.ordered import budget_prefix, hash_bucket
 
     hits = F.size(F.filter(F.array(*map(F.lit, TERMS)), lambda t: F.contains(F.lower("text"), t)))
-    docs = table(spark, d, "documents").select("doc_id", "n_chars", hits.cast("long").alias("hits"), F.md5(F.col("doc_id").cast("string")).alias("h"))
+    docs = materialize(table(spark, d, "documents").select("doc_id", "n_chars", hits.cast("long").alias("hits"), F.md5(F.col("doc_id").cast("string")).alias("h")), "hits")  # the order is gone through twice
     bucket = (len(TERMS) - F.col("hits")) * 4096 + hash_bucket(F.col("h"))
     return budget_prefix(docs, [F.desc("hits"), F.col("h"), F.col("doc_id")], bucket, F.col("n_chars"), 300000).select("doc_id", "hits")
 
