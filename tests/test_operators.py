@@ -24,6 +24,25 @@ def test_either_key_replay(spark):
         assert sorted(x.k for x in got.collect()) == want
 
 
+def test_either_key_ties_nulls_and_chains(spark):
+    """Ties of the order go by the keys, one of rows alike stays, null orders come first, and a chain of keys ends."""
+    r = random.Random(5)
+    rows = [(r.choice([None, *range(30)]), r.choice([None, *range(60)]), r.choice([None, *range(40)]), k) for k in range(150)]
+    rows += [(100 + k, 1000 + k, 1001 + k, k) for k in range(60)] + [rows[7]] * 2
+    seen, want = set(), []
+    low = lambda x: (x is not None, x or 0)
+    for row in sorted(rows, key=lambda x: (low(x[0]), low(x[2] if x[1] is None else x[1]), low(x[1] if x[2] is None else x[2]), x[1] is not None, low(x[1]), x[2] is not None, low(x[2]), x[3])):
+        own = {*row[1:3]} - {None}
+        if seen.isdisjoint(own):
+            seen |= own
+            want.append(row)
+    for replay_rows in (1000, 40):
+        df = spark.createDataFrame(rows, "k int, a int, b long, _one long")
+        got = dedupe.admitted_by_either_key(df, "a", "b", "k", replay_rows).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert dedupe.admitted_by_either_key(df.where("k < 0"), "a", "b", "k").collect() == []
+
+
 def test_budget_prefix_keeps_crossing_row(spark):
     rows = spark.range(100).select("id", F.lit(3).alias("v"), F.md5(F.col("id").cast("string")).alias("h"))
     kept = ordered.budget_prefix(rows, [F.col("h")], ordered.hash_bucket(F.col("h")), F.col("v"), 10).collect()
